@@ -85,16 +85,16 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_
 ORACLES = {
     "op6_line_dedup": r"""
 WITH l AS (
-  SELECT doc_id, source, unnest(s) AS line, unnest(range(0, len(s))) AS at
+  SELECT doc_id, source, unnest(s) AS line, unnest(range(0, len(s))) AS pos
   FROM (SELECT doc_id, coalesce(source, '') AS source, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT *, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS k FROM l),
 spread AS (SELECT k FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
 marked AS (
-  SELECT t.*, CASE WHEN s.k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY t.k ORDER BY doc_id, at) END AS nth
+  SELECT t.*, CASE WHEN s.k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY t.k ORDER BY doc_id, pos) END AS nth
   FROM t LEFT JOIN spread s ON t.k = s.k),
 kept AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (nth = 1), '') AS text
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (nth = 1), '') AS text
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
