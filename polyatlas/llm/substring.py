@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
 from .store import materialize, row_key
@@ -16,6 +17,8 @@ WINDOW = 35
 #: A perfect difference set: every residue mod PERIOD is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 FILTER_BITS = 27
+#: Bits of a word's place in its text.
+_PLACE = 28
 _BYTES = 4 << 20
 
 
@@ -63,10 +66,11 @@ def _filter(docs: DataFrame, bits: int, window: int) -> np.ndarray:
         for _, _, _, d, _, s, e, first in _parts(batches):
             _, h = _anchors(tv.span_hashes(d, s, e), first, window)
             u, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((u >> np.uint64(70 - bits)).astype(np.int64)), pa.array(u.view(np.int64)), pa.array(n > 1)], ["word", "h", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n > 1)], ["h", "more"])
 
-    found = docs.mapInArrow(run, "word long, h long, more boolean").groupBy("word", "h")
+    found = docs.mapInArrow(run, "h long, more boolean").groupBy("h")
     twice = found.agg(F.count("*").alias("n"), F.max("more").alias("more")).where("n > 1 or more")
+    twice = twice.select(F.shiftrightunsigned("h", 70 - bits).alias("word"), "h")
     bit = f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))"
     marks = twice.groupBy("word").agg(F.bit_or(F.expr(bit)).alias("m"))
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
@@ -84,7 +88,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
     windows share an anchor at one offset, since each residue is a difference of
     two cover positions. Anchor hashes seen twice are marked in a bitmap of
     fixed size; a window around a marked anchor is extended to its whole length
-    and its 96-bit hash counted over all documents. So the bitmap only saves
+    and its 79-bit hash counted over all documents. So the bitmap only saves
     work: false marks cost a count, never a wrong removal. Counts are summed in
     each task before the shuffle, and only windows found once come back to
     their texts, so no group of copies meets in one task.
@@ -96,7 +100,11 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
     spark = docs.sparkSession
-    base = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    # a short key shuffles cheaply; rows of one doc_id are told apart by 12 bits of their text's hash
+    short = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(None).cast("long")
+    key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << 12))
+    base = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"))
     bitmap = spark.sparkContext.broadcast(_filter(base, filter_bits, window))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +115,15 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
             tag = tv.windows(tv.span_hashes(d, s, e, 1), window)[at] if len(at) else h
             u, index, n = np.unique(h, return_index=True, return_counts=True)
             row = np.searchsorted(first, at[index], side="right") - 1
-            key = batch.column(0).to_numpy()[a + row]
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array((tag[index] >> np.uint64(33)).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array((at[index] - first[row]).astype(np.int64))], ["h", "tag", "n", "row_key", "at"])
+            if len(first) > 1 and np.diff(first).max() >= 1 << _PLACE:
+                raise ValueError(f"a text of {1 << _PLACE} words or more")
+            place = batch.column(2).to_numpy()[a + row] << _PLACE | (at[index] - first[row])
+            many = np.minimum(n, 2).astype(np.int64) << (_PLACE + 12)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array((tag[index] >> np.uint64(49)).astype(np.int16)), pa.array(many | place), pa.array(batch.column(0).to_numpy()[a + row])], ["h", "tag", "v", "key"])
 
-    counted = base.mapInArrow(single, "h long, tag int, n int, row_key long, at long").groupBy("h", "tag")
-    once = counted.agg(F.sum("n").alias("n"), F.min("row_key").alias("row_key"), F.min("at").alias("at")).where("n = 1")
-    once = once.groupBy("row_key").agg(F.collect_list("at").alias("once"))
+    counted = base.mapInArrow(single, "h long, tag short, v long, key long").groupBy("h", "tag")
+    once = counted.agg(F.try_sum("v").alias("v"), F.min("key").alias("key")).where(F.shiftright("v", _PLACE + 12) == 1)
+    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + 12)) - 1).alias("at")).groupBy("key").agg(F.collect_list("at").alias("once"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, d, _, s, e, first in _parts(batches):
@@ -120,7 +131,9 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
             at = _candidates(words, first, bitmap.value, filter_bits, window)
             lists = batch.column(3).slice(a, b - a)
             rows = np.repeat(np.arange(b - a), lists.value_lengths().fill_null(0).to_numpy())
-            at = np.setdiff1d(at, first[rows] + lists.flatten().to_numpy(), assume_unique=True)
+            once_at = lists.flatten().to_numpy()
+            mine = once_at >> _PLACE == batch.column(2).to_numpy()[a + rows]
+            at = np.setdiff1d(at, (first[rows] + (once_at & ((1 << _PLACE) - 1)))[mine])
             step = np.zeros(len(s) + 1, dtype=np.int32)
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
@@ -135,10 +148,10 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
                     kept.append(b" ".join([raw[x:y] for x, y in zip(s[own][k].tolist(), e[own][k].tolist(), strict=True)]))
             n = np.diff(first)
             left = np.add.reduceat(np.append(keep, 0), first[:-1])[: b - a] * (n > 0) if len(s) else np.zeros(b - a, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())], ["row_key", "doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())], ["row_key", "doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    full = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text"), "doc_id").join(once, "row_key", "left").select("row_key", "text", "doc_id", "once")
+    full = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"), "doc_id").join(once, "key", "left").select("key", "text", "tell", "once", row_key().alias("row_key"), "doc_id")
     return full.mapInArrow(cut, f"row_key long, doc_id {kind}, n_words long, n_removed long, kept string")
 
 
