@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near copies; rows without doc_id stay."""
     groups = materialize(simhash.near_duplicates(docs), "groups")
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    stay = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(row_key()))
     return stay.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns).union(docs.where("doc_id is null"))
 

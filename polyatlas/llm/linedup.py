@@ -54,7 +54,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = materialize(spread_lines(lines, min_sites), "spread")
     hit = lines.join(spread, "line").where((F.col("row_key") != F.col("keep.row_key")) | (F.col("at") != F.col("keep.at")))
     drops = hit.groupBy("row_key").agg(F.collect_set("at").alias("_drop")).withColumnRenamed("row_key", "_k")
-    out = docs.withColumn("_row", row_key()).join(materialize(drops, "drops"), F.col("_row") == F.col("_k"), "left")
+    # a merge join at every size: a broadcast of what was dropped would grow with the input
+    out = docs.withColumn("_row", row_key()).join(materialize(drops, "drops").hint("merge"), F.col("_row") == F.col("_k"), "left")
     pieces = F.split(F.col("text").cast("string"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "\n")

@@ -151,7 +151,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
             yield pa.RecordBatch.from_arrays([batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())], ["row_key", "doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    full = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"), "doc_id").join(once, "key", "left").select("key", "text", "tell", "once", row_key().alias("row_key"), "doc_id")
+    full = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"), "doc_id").join(once.hint("merge"), "key", "left").select("key", "text", "tell", "once", row_key().alias("row_key"), "doc_id")
     return full.mapInArrow(cut, f"row_key long, doc_id {kind}, n_words long, n_removed long, kept string")
 
 
@@ -160,5 +160,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = repeated_windows_removed(docs, window).where("n_removed > 0").select(F.col("row_key").alias("_k"), F.col("kept").alias("_kept"))
     cut = materialize(cut.dropDuplicates(["_k"]), "cut")
     keyed = docs.withColumn("_row", row_key())
-    out = keyed.join(cut, F.col("_row") == F.col("_k"), "left")
+    out = keyed.join(cut.hint("merge"), F.col("_row") == F.col("_k"), "left")
     return out.select(*(F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
