@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,16 +42,30 @@ class PieceModel:
                 self.ids[piece], self.score[piece] = i, sp.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids))
-        self._stable: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.pieces = {i: piece for piece, i in self.ids.items()}
+        #: Characters to nodes; 0 to the id of the piece that ends there, if its own text is encoded to it.
+        self.trie: dict = {}
+        #: The two pieces whose merge is the last on the way to a piece.
+        self.split: dict[str, tuple[str, str]] = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            if len(piece) == 1:
+                node[0] = i
+            elif len(last := self.merged(piece, 2)) == 2 and last[0] + last[1] in self.score:
+                node[0], self.split[piece] = i, (last[0], last[1])
+        #: Pairs of characters inside a piece.
+        self.inner = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self._pairs: dict[int, bool] = {}
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging the best-scored neighbours, the leftmost first."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """The pieces of a short text by merging the best-scored neighbours, the leftmost first, down to ``stop`` pieces."""
         parts = list(text)
         score = self.score
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -61,83 +76,113 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stable(self, piece: str) -> bool:
-        """Whether the piece is what its own text is encoded to."""
-        known = self._stable.get(piece)
-        if known is None:
-            known = self._stable[piece] = len(self.merged(piece)) == 1
-        return known
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the two pieces stay as they are side by side.
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are side by side."""
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(left + right) == [left, right]
+        Goes back in time from the whole pieces: undoes the later of the two
+        last merges, and sees whether the parts that then met at the boundary
+        would have merged before it. Of equal merges the left one comes first.
+        """
+        score, split = self.score, self.split
+        u, v = self.pieces[left], self.pieces[right]
+        across, known = score.get(u + v), None
+        while known is None:
+            if across is not None:
+                known = False
+            elif u in split and (v not in split or score[u] < score[v]):
+                limit, u = score[u], split[u][1]
+                across = score.get(u + v)
+                across = across if across is not None and across > limit else None
+            elif v in split:
+                limit, v = score[v], split[v][0]
+                across = score.get(u + v)
+                across = across if across is not None and across >= limit else None
+            else:
+                known = True
+        if len(self._pairs) > 2_000_000:
+            self._pairs.clear()
+        self._pairs[left << 16 | right] = known
         return known
 
-    def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a text read character by character.
+    def stream(self, chunks: Iterable[str]) -> Iterator[int]:
+        """Ids of a text that comes in chunks.
 
         Each boundary keeps the one last piece that can end there: a piece of
-        the vocabulary, compatible with the survivor at its own start. Only the
-        boundaries within one maximum piece length of the newest can start a
-        further piece, so the window holds these; whenever the backpointer paths
-        of all of them lead through one boundary, the ids up to it are given out
-        and forgotten. A character outside the vocabulary becomes its bytes.
+        the vocabulary, compatible with the survivor at its own start, found by
+        walking a trie from that start. Only a window of one maximum piece
+        length ahead is needed to start from a boundary. Now and then the
+        backpointer paths of all boundaries ahead are followed to where they
+        lead through one boundary; the ids up to it are given out, and it and
+        the text before are forgotten. A character outside the vocabulary
+        becomes its bytes.
         """
-        ids, longest = self.ids, self.longest
-        window, back, base, n, done = "", {0: (-1, "")}, 0, 0, 0
-        since = 0
-        for ch in chars:
-            window += ch
-            n += 1
-            since += 1
-            found = None
-            for start in range(max(done, n - longest), n):
-                entry = back.get(start)
-                if entry is None:
-                    continue
-                piece = window[start - base :]
-                if piece in ids and self.stable(piece) and (start == 0 or entry[1] not in ids or self.compatible(entry[1], piece)):
-                    found = (start, piece)
-                    break
-            if found is None and ch not in ids and (n - 1) in back:
-                found = (n - 1, ch)
-            if found is not None:
-                back[n] = found
-            if since >= longest:
-                since = 0
-                paths = {b for b in back if b > n - longest}
+        trie, pairs, longest = self.trie, self._pairs, self.longest
+        back: dict[int, tuple[int, int]] = {0: (-1, -1)}
+        source, window = iter(chunks), ""
+        base = start = 0
+        while True:
+            while source is not None and len(window) - (start - base) < longest:
+                more = next(source, None)
+                if more is None:
+                    source = None
+                else:
+                    window += more
+            if start - base >= len(window):
+                break
+            if start in back:
+                left, node, end = back[start][1], trie, start
+                for ch in window[start - base : start - base + longest]:
+                    node = node.get(ch)
+                    if node is None:
+                        break
+                    end += 1
+                    if end not in back and 0 in node:
+                        own = node[0]
+                        if left < 0:
+                            back[end] = (start, own)
+                        else:
+                            fits = pairs.get(left << 16 | own)
+                            if fits or (fits is None and self.compatible(left, own)):
+                                back[end] = (start, own)
+                if end == start and start + 1 not in back:
+                    back[start + 1] = (start, -1 - ord(window[start - base]))
+            start += 1
+            if start - base >= 4 * longest:
+                paths = {b for b in back if b >= start}
                 while len(paths) > 1:
                     top = max(paths)
                     paths.discard(top)
-                    paths.add(max(back[top][0], done))
+                    paths.add(max(back[top][0], base))
                 at = paths.pop()
-                if at > done:
-                    yield from self._ids(back, at, done)
+                if at > base:
+                    yield from self._ids(back, at, base)
                     back = {b: v for b, v in back.items() if b >= at}
-                    window, base, done = window[at - base :], at, at
-        yield from self._ids(back, n, done)
+                    window, base = window[at - base :], at
+        yield from self._ids(back, start, base)
 
-    def _ids(self, back: dict, end: int, done: int) -> list[int]:
-        out: list[list[int]] = []
+    def _ids(self, back: dict[int, tuple[int, int]], end: int, done: int) -> list[int]:
+        out: list[int] = []
         while end > done:
-            start, piece = back[end]
-            own = self.ids.get(piece)
-            out.append([own] if own is not None else [self.byte_id[b] for b in piece.encode()])
+            start, own = back[end]
+            if own >= 0:
+                out.append(own)
+            else:
+                out.extend(self.byte_id[b] for b in reversed(chr(-1 - own).encode()))
             end = start
-        return [i for part in reversed(out) for i in part]
+        return out[::-1]
 
     def segment(self, segment: str) -> bytes:
-        """int32 ids of a segment, remembered if it is short."""
+        """int32 ids of a segment; cut first where no piece could reach across, and remembered if it is short."""
         got = self._young.get(segment)
         if got is None:
             got = self._old.get(segment)
             if got is None:
-                got = np.fromiter(self.stream(segment), dtype=np.int32).tobytes()
+                a, parts, inner = 0, [], self.inner
+                for i in range(1, len(segment)):
+                    if segment[i - 1 : i + 1] not in inner:
+                        parts.append(segment[a:i])
+                        a = i
+                got = b"".join(map(self.segment, [*parts, segment[a:]])) if parts else array("i", self.stream((segment,))).tobytes()
                 if len(segment) > LONG:
                     return got
             if len(self._young) >= REMEMBERED:
