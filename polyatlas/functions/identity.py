@@ -8,6 +8,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the namespace of stable uids.
 NAMESPACE = uuid.UUID("b3e7a9f1-6c2d-4a8b-9f01-3d5e7a2b8c4f")
@@ -51,7 +52,7 @@ def compute_layout_uid(uids: list[str]) -> str:
     return hashlib.sha256("".join(u + "\0" for u in uids).encode()).hexdigest()[:16]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def dataset_perturbation_uid(dataset: pd.Series, perturbation: pd.Series) -> pd.Series:
     """16 digits of an 8-byte BLAKE2b digest of ``dataset_perturbation``; Spark has no BLAKE2."""
     return pd.Series([None if d is None or p is None else hashlib.blake2b(f"{d}_{p}".encode(), digest_size=8).hexdigest() for d, p in zip(dataset, perturbation, strict=True)])

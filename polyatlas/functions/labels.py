@@ -86,7 +86,7 @@ def negative_control_type(value: Column) -> Column:
 
 def split_combination(value: Column) -> Column:
     """The trimmed, non-empty members of a combined perturbation."""
-    return F.filter(F.transform(F.split(F.trim(value), COMBINATION), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.trim(value), COMBINATION), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def perturbation_method(value: Column) -> Column:

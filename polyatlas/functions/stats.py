@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ERFC = np.frompyfunc(math.erfc, 1, 1)
 _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
@@ -43,12 +44,12 @@ def t_two_sided_array(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(incomplete_beta(df / 2, 0.5, df / (df + t * t)), 0, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal distribution."""
     return pd.Series(normal_sf_array(z.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided_array(t.to_numpy(), df.to_numpy()))

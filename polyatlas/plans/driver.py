@@ -1,12 +1,626 @@
-"""Queries over the driver's tables."""
+"""The operators over the star-schema tables: orders are cells, parts are features, nations are groups."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polyatlas.functions import identity, labels
+from polyatlas.operators import batches, dex, intervals, matrix, schema, search, vocabulary
+from polyatlas.operators.query import AtlasVersion, pointer
+from polyatlas.streaming import stream_counts, stream_fragments
+
+SALES, PROFILE = "sales", "profile"
+for _space in (schema.FeatureSpace(SALES, schema.SPARSE, True, ("quantity",), ("quantity", "price")), schema.FeatureSpace(PROFILE, schema.DENSE, True, ("raw",), ("raw",))):
+    if _space.name not in schema.registered_spaces():
+        schema.register_space(_space)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DAY = 86400
+
+
+def _register(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def driver_atlas(spark: SparkSession, sf_dir: str) -> AtlasVersion:
+    """Orders with a sparse part matrix by nation, and a dense profile of those whose key is a vector's."""
+    orders, customer, nation, line, part, emb = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "lineitem", "part", "embeddings"))
+    who = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_nationkey", "n_name")
+    owned = orders.join(who, F.col("o_custkey") == F.col("c_custkey"))
+    sold = line.select(F.col("l_orderkey").alias("_o")).distinct()
+    marked = owned.join(sold, F.col("o_orderkey") == F.col("_o"), "left").join(emb.select("vec_id", "label"), F.col("o_orderkey") == F.col("vec_id"), "left")
+    cells = marked.select(
+        F.col("o_orderkey").alias("uid"), F.col("n_name").alias("dataset_uid"), "o_orderpriority", "o_orderstatus", "o_totalprice", "c_mktsegment",
+        pointer(SALES, F.col("n_nationkey"), F.col("_o").isNotNull()), pointer(PROFILE, F.col("label") % 2, F.col("vec_id").isNotNull()),
+    )
+    rows = line.join(owned.select("o_orderkey", F.col("n_nationkey").alias("grp")), F.col("l_orderkey") == F.col("o_orderkey"))
+    registry = part.select(F.col("p_partkey").alias("uid"), F.col("p_partkey").alias("global_index"), "p_brand", "p_type", "p_size")
+    # local ids keep the order of the part keys: sparse, but unique within a group
+    layout = rows.select("grp", F.col("l_partkey").alias("local_index"), F.col("l_partkey").alias("feature_uid"), F.col("l_partkey").alias("global_index")).distinct()
+    values = rows.select(F.col("l_orderkey").alias("uid"), "grp", F.col("l_partkey").alias("local_index"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    width = F.when(F.col("label") % 2 == 0, 64).otherwise(32)
+    profile = emb.select(F.col("vec_id").alias("uid"), (F.col("label") % 2).alias("grp"), F.slice("embedding", F.lit(1), width).alias("raw"))
+    dims = spark.range(64).select(F.col("id").alias("local_index"), F.concat(F.lit("d"), F.col("id")).alias("feature_uid"), F.col("id").alias("global_index"))
+    dense_layout = dims.withColumn("grp", F.explode(F.array(F.lit(0), F.lit(1)))).where("grp = 0 or local_index < 32").select("grp", "local_index", "feature_uid", "global_index")
+    dense_registry = dims.select(F.col("feature_uid").alias("uid"), "global_index")
+    datasets = nation.select(F.col("n_name").alias("uid"), F.col("n_nationkey").alias("grp"), F.lit(SALES).alias("feature_space"), F.col("n_name").alias("layout_uid"))
+    return AtlasVersion(cells, {SALES: registry, PROFILE: dense_registry}, {SALES: layout, PROFILE: dense_layout}, {SALES: values, PROFILE: profile}, datasets, 0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")
+    """Pinned features of the finished orders as a sparse matrix."""
+    return driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'F'").features(list(range(1, 21)), SALES).to_matrix(SALES).x
+
+
+_CELLS = """
+cells AS (SELECT o_orderkey AS uid, n_name, n_nationkey AS grp, o_orderpriority, o_orderstatus, o_totalprice, c_mktsegment,
+  o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_sales, o_orderkey IN (SELECT vec_id FROM embeddings) AS has_profile
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+_LAYOUT = """
+layout AS (SELECT DISTINCT grp, l_partkey AS feature FROM lineitem JOIN cells ON l_orderkey = uid)"""
+
+# --- scans, projections, counts, limits
+
+
+@_register(f"WITH {_CELLS} SELECT uid, o_totalprice FROM cells WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 1000 AND 200000")
+def scan_where(spark, sf_dir):
+    q = driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice between 1000 and 200000")
+    return q.select(["o_totalprice"]).to_frame()
+
+
+@_register(f"WITH {_CELLS} SELECT uid, c_mktsegment, o_orderstatus FROM cells")
+def project_select(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().select(["c_mktsegment", "o_orderstatus", "c_mktsegment"]).to_frame()
+
+
+@_register(f"WITH {_CELLS} SELECT uid, n_name AS dataset_uid, o_orderpriority, o_orderstatus, o_totalprice, c_mktsegment FROM cells WHERE o_orderstatus = 'P'")
+def obs_projection(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'O'").where("o_orderstatus = 'P'").to_frame()
+
+
+@_register(f"WITH {_CELLS} SELECT count(*) AS n FROM cells WHERE c_mktsegment IS NOT NULL")
+def count_all(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().where("c_mktsegment is not null").cells().agg(F.count("*").alias("n"))
+
+
+@_register(f"""WITH {_CELLS} SELECT c_mktsegment, o_orderstatus, count(*) AS "count" FROM cells GROUP BY ALL""")
+def count_group(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().count(["c_mktsegment", "o_orderstatus"])
+
+
+@_register(f"WITH {_CELLS} SELECT uid, o_totalprice FROM cells WHERE o_orderstatus = 'O' ORDER BY uid LIMIT 100")
+def limit_uid(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'O'").limit(100).select(["o_totalprice"]).to_frame()
+
+
+@_register(f"""WITH {_CELLS}, r AS (SELECT uid, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY uid) AS nth FROM cells)
+SELECT uid, c_mktsegment FROM r WHERE nth <= 103 // (SELECT count(DISTINCT c_mktsegment) FROM cells)""")
+def balanced_limit(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().balanced_limit(103, "c_mktsegment").select(["c_mktsegment"]).to_frame()
+
+
+@_register(f"WITH {_CELLS} SELECT uid, has_sales AS sales, has_profile AS profile FROM cells")
+def presence_mask(spark, sf_dir):
+    atlas = driver_atlas(spark, sf_dir)
+    return atlas.query().cells().select("uid", *(F.col(s).isNotNull().alias(s) for s in (SALES, PROFILE)))
+
+
+@_register(f"WITH {_CELLS} SELECT uid, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS note FROM cells")
+def align_obs(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    want = T.StructType([T.StructField("uid", T.LongType(), False), T.StructField("status", T.StringType(), False), T.StructField("note", T.StringType())])
+    return schema.align_obs(driver_atlas(spark, sf_dir).cells.drop(SALES, PROFILE), want, {"o_orderstatus": "status"})
+
+
+# --- ragged matrices
+
+
+@_register(f"""WITH {_CELLS} SELECT uid, l_partkey AS global_index, sum(l_quantity) AS quantity FROM lineitem JOIN cells ON l_orderkey = uid
+WHERE o_orderstatus = 'P' GROUP BY ALL""")
+def sparse_union(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'P'").to_matrix(SALES).x
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT}, c AS (SELECT * FROM cells WHERE grp < 3 AND has_sales),
+f AS (SELECT feature FROM layout WHERE grp IN (SELECT grp FROM c) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT grp) FROM c))
+SELECT uid, l_partkey AS global_index, sum(l_quantity) AS quantity FROM lineitem JOIN c ON l_orderkey = uid WHERE l_partkey IN (SELECT feature FROM f) GROUP BY ALL""")
+def sparse_intersection(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).query().where(F.col(f"{SALES}.grp").cast("int") < 3).feature_join("intersection").to_matrix(SALES).x
+
+
+@_register(f"""WITH {_CELLS} SELECT uid, l_partkey AS global_index, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price
+FROM lineitem JOIN cells ON l_orderkey = uid WHERE l_partkey BETWEEN 1 AND 50 GROUP BY ALL""")
+def features_pinned(spark, sf_dir):
+    x = driver_atlas(spark, sf_dir).query().features([*range(50, 0, -1), 7], SALES).layers(SALES, ["quantity", "price"]).to_matrix(SALES).x
+    return x.withColumn("price", F.round("price", 2))
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT} SELECT feature AS global_index, count(DISTINCT grp) AS n_groups FROM layout GROUP BY 1""")
+def feature_space_groups(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).layouts[SALES].groupBy("global_index").agg(F.count_distinct("grp").alias("n_groups"))
+
+
+@_register(f"""WITH {_CELLS} SELECT grp, l_partkey AS local_index, count(*) AS n, sum(l_quantity) AS total FROM lineitem JOIN cells ON l_orderkey = uid
+WHERE l_partkey <= 20 GROUP BY ALL""")
+def csc_feature_scan(spark, sf_dir):
+    by_feature = matrix.csc_order(driver_atlas(spark, sf_dir).values[SALES]).where("local_index <= 20")
+    return by_feature.groupBy("grp", "local_index").agg(F.count("*").alias("n"), F.sum("quantity").alias("total"))
+
+
+@_register("""WITH e AS (SELECT vec_id AS uid, unnest(embedding) AS v, unnest(range(64)) AS i, label % 2 AS g FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey))
+SELECT uid, i AS at, CASE WHEN g = 1 AND i >= 32 THEN CAST(0 AS FLOAT) ELSE v END AS v FROM e""")
+def dense_union(spark, sf_dir):
+    x = driver_atlas(spark, sf_dir).query().to_matrix(PROFILE).x
+    return x.select("uid", F.posexplode("values").alias("at", "v")).withColumn("at", F.col("at").cast("long"))
+
+
+@_register("""WITH e AS (SELECT vec_id AS uid, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey))
+SELECT uid, i AS at, v FROM e WHERE i < 32""")
+def dense_intersection(spark, sf_dir):
+    x = driver_atlas(spark, sf_dir).query().feature_join("intersection").to_matrix(PROFILE).x
+    return x.select("uid", F.posexplode("values").alias("at", "v")).withColumn("at", F.col("at").cast("long"))
+
+
+@_register("SELECT l_orderkey AS uid, count(*) AS nnz FROM lineitem GROUP BY 1")
+def nnz_per_cell(spark, sf_dir):
+    line = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), "l_quantity")
+    return matrix.values_per_cell(line, "l_quantity")
+
+
+@_register("""WITH c AS (SELECT l_orderkey AS uid, count(*) AS nnz FROM lineitem GROUP BY 1)
+SELECT uid, nnz, CAST(sum(nnz) OVER (ORDER BY uid) - nnz AS BIGINT) AS begin, CAST(sum(nnz) OVER (ORDER BY uid) AS BIGINT) AS "end" FROM c""")
+def offsets_prefix_sum(spark, sf_dir):
+    return matrix.offsets(nnz_per_cell(spark, sf_dir), "uid", "nnz", F.floor(F.col("uid") / 1024))
+
+
+@_register("""SELECT l_orderkey AS uid, l_partkey AS local_index, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS first,
+sum(CASE WHEN l_linenumber > 2 THEN l_quantity ELSE 0 END) AS later FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL""")
+def union_layers(spark, sf_dir):
+    line = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("local_index"), F.col("l_quantity").alias("value"), "l_linenumber")
+    return matrix.union_layers({"first": line.where("l_linenumber = 1"), "later": line.where("l_linenumber > 2")})
+
+
+# --- registries and layouts
+
+
+@_register("SELECT l_orderkey AS uid, l_partkey AS feature, p_brand, p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1")
+def join_feature_metadata(spark, sf_dir):
+    line = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("feature"))
+    return driver_atlas(spark, sf_dir).join_feature_metadata(line, SALES, ["p_brand", "p_size"])
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT} SELECT feature AS global_feature_uid, layout.grp, n_name AS uid, 'sales' AS feature_space
+FROM layout JOIN nation ON grp = n_nationkey WHERE feature IN (3, 5, 8, 1999999)""")
+def find_datasets_with_features(spark, sf_dir):
+    return driver_atlas(spark, sf_dir).find_datasets_with_features([3, 5, 8, 1999999], SALES)
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT} SELECT grp, feature AS local_index, feature AS feature_uid, CASE WHEN feature % 2 = 0 THEN feature ELSE -1 END AS global_index FROM layout""")
+def layout_build(spark, sf_dir):
+    return _half_layout(spark, sf_dir).fillna(-1, ["global_index"])
+
+
+def _half_layout(spark, sf_dir):
+    atlas = driver_atlas(spark, sf_dir)
+    half = atlas.registries[SALES].withColumn("global_index", F.when(F.col("uid") % 2 == 0, F.col("uid")))
+    return matrix.build_layout(atlas.layouts[SALES], half)
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT} SELECT grp, count(*) AS n, CAST(0 AS BIGINT) AS null_uids, count(*) FILTER (feature % 2 = 1) AS null_globals, CAST(0 AS BIGINT) AS repeats,
+count(*) FILTER (feature > 1000) AS unresolved FROM layout GROUP BY 1""")
+def layout_validate(spark, sf_dir):
+    return matrix.layout_errors(_half_layout(spark, sf_dir), driver_atlas(spark, sf_dir).registries[SALES].where("uid <= 1000"))
+
+
+@_register("""SELECT p_partkey AS uid, CASE WHEN p_size <= 10 THEN 2 * p_partkey ELSE (SELECT max(2 * p_partkey) FROM part WHERE p_size <= 10) + row_number() OVER (PARTITION BY p_size <= 10 ORDER BY p_partkey) END AS global_index FROM part""")
+def reindex(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.when(F.col("p_size") <= 10, 2 * F.col("p_partkey")).alias("global_index"))
+    return matrix.reindex(part)
+
+
+@_register(f"""WITH {_CELLS}, {_LAYOUT} SELECT grp, feature AS local_index, feature AS feature_uid, feature AS global_index FROM layout""")
+def sync_layout(spark, sf_dir):
+    return matrix.sync_layout(_half_layout(spark, sf_dir), driver_atlas(spark, sf_dir).registries[SALES])
+
+
+@_register("""SELECT p_partkey AS uid, substr(sha1(unhex('b3e7a9f16c2d4a8b9f013d5e7a2b8c4f') || encode(p_brand || '|' || p_type)), 1, 12) || '5' || substr(sha1(unhex('b3e7a9f16c2d4a8b9f013d5e7a2b8c4f') || encode(p_brand || '|' || p_type)), 14, 3) AS stable_uid FROM part""")
+def stable_uid(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), identity.stable_uid(F.col("p_brand"), F.col("p_type")).alias("stable_uid"))
+
+
+@_register("""SELECT p_brand, substr(sha256(string_agg(CAST(p_partkey AS VARCHAR) || chr(0), '' ORDER BY p_partkey)), 1, 16) AS layout_uid FROM part GROUP BY 1""")
+def layout_uid(spark, sf_dir):
+    keys = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
+    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(identity.layout_uid(keys).alias("layout_uid"))
+
+
+# --- statistics: brands as features, market segments as groups
+
+
+def _brand_values(spark, sf_dir):
+    line, part = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
+    rows = line.join(F.broadcast(part.select("p_partkey", "p_brand")), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("uid"), F.col("p_brand").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+
+
+def _segments(spark, sf_dir):
+    orders, customer = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("uid"), F.col("c_mktsegment").alias("grp"))
+
+
+def _segment_names(spark, sf_dir):
+    return "AUTOMOBILE", ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+_STATS = """
+v AS (SELECT l_orderkey AS uid, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+x AS (SELECT uid, feature, CAST(ln(1 + value * 10000.0 / sum(value) OVER (PARTITION BY uid)) AS FLOAT) AS x FROM v),
+cells AS (SELECT o_orderkey AS uid, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey),
+sizes AS (SELECT grp, count(*) AS n FROM cells GROUP BY 1)"""
+
+
+@_register(f"WITH {_STATS} SELECT uid, feature, round(CAST(x AS DOUBLE), 4) AS x FROM x")
+def normalise(spark, sf_dir):
+    return dex.normalise(_brand_values(spark, sf_dir)).select("uid", "feature", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@_register(f"WITH {_STATS} SELECT grp, feature, round(sum(exp(CAST(x AS DOUBLE)) - 1) / any_value(n), 3) AS mean FROM x JOIN cells USING (uid) JOIN sizes USING (grp) GROUP BY ALL")
+def pseudobulk_arith(spark, sf_dir):
+    means = dex.pseudobulk(dex.normalise(_brand_values(spark, sf_dir)), _segments(spark, sf_dir), geometric=False)
+    return means.withColumn("mean", F.round("mean", 3))
+
+
+@_register(f"WITH {_STATS} SELECT grp, feature, round(exp(sum(CAST(x AS DOUBLE)) / any_value(n)) - 1, 6) AS mean FROM x JOIN cells USING (uid) JOIN sizes USING (grp) GROUP BY ALL")
+def pseudobulk_geo(spark, sf_dir):
+    means = dex.pseudobulk(dex.normalise(_brand_values(spark, sf_dir)), _segments(spark, sf_dir))
+    return means.withColumn("mean", F.round("mean", 6))
+
+
+@_register(f"""WITH {_STATS}, m AS (SELECT grp, feature, exp(sum(CAST(x AS DOUBLE)) / any_value(n)) - 1 AS mean FROM x JOIN cells USING (uid) JOIN sizes USING (grp) GROUP BY ALL)
+SELECT t.grp AS target, t.feature, round(log2((t.mean + 1e-9) / (r.mean + 1e-9)), 6) AS fold_change, round((t.mean - r.mean) / (r.mean + 1e-9), 6) AS percent_change
+FROM m t JOIN m r ON t.feature = r.feature AND r.grp = 'AUTOMOBILE' WHERE t.grp <> 'AUTOMOBILE'""")
+def dex_foldchange(spark, sf_dir):
+    means = dex.pseudobulk(dex.normalise(_brand_values(spark, sf_dir)), _segments(spark, sf_dir))
+    out = dex.fold_changes(means, _segment_names(spark, sf_dir)[0])
+    return out.select("target", "feature", F.round("fold_change", 6).alias("fold_change"), F.round("percent_change", 6).alias("percent_change"))
+
+
+@_register(f"""WITH {_STATS.replace("CAST(ln(1 + value * 10000.0 / sum(value) OVER (PARTITION BY uid)) AS FLOAT)", "CAST(value AS FLOAT)")},
+own AS (SELECT grp, feature, x, count(*) AS c FROM x JOIN cells USING (uid) GROUP BY ALL),
+grid AS (SELECT s.grp AS target, s.n AS n_a, r.n AS n_b FROM sizes s, sizes r WHERE r.grp = 'AUTOMOBILE' AND s.grp <> 'AUTOMOBILE'),
+pairs AS (SELECT target, feature, x, c AS a, 0 AS b FROM own JOIN grid ON grp = target UNION ALL SELECT target, feature, x, 0, c FROM own, grid WHERE grp = 'AUTOMOBILE'),
+by_value AS (SELECT target, feature, x, sum(a) AS a, sum(b) AS b FROM pairs GROUP BY ALL),
+filled AS (SELECT * FROM by_value UNION ALL SELECT target, feature, 0, any_value(n_a) - sum(a), any_value(n_b) - sum(b) FROM by_value JOIN grid USING (target) GROUP BY target, feature),
+ranked AS (SELECT target, feature, a, a + b AS c, sum(a + b) OVER (PARTITION BY target, feature ORDER BY x) - (a + b) + (a + b + 1) / 2 AS rank FROM filled)
+SELECT target, feature, CAST(sum(a * rank) - any_value(n_a) * (any_value(n_a) + 1) / 2 AS DOUBLE) AS u, CAST(sum(CAST(c AS DOUBLE) ** 3 - c) AS DOUBLE) AS tie, any_value(n_a) AS n_a, any_value(n_b) AS n_b
+FROM ranked JOIN grid USING (target) GROUP BY target, feature""")
+def mwu_u(spark, sf_dir):
+    raw = _brand_values(spark, sf_dir).select("uid", "feature", F.col("value").cast("float").alias("x"))
+    return dex.rank_sums(raw, _segments(spark, sf_dir), _segment_names(spark, sf_dir)[0])
+
+
+@_register(f"""WITH {_STATS}, g AS (SELECT grp, feature, n, sum(CAST(v.value AS DOUBLE)) AS s1, sum(CAST(v.value AS DOUBLE) ** 2) AS s2 FROM v JOIN cells USING (uid) JOIN sizes USING (grp) GROUP BY ALL),
+m AS (SELECT grp, feature, n, s1 / n AS mean, (s2 - s1 * s1 / n) / (n - 1) / n AS se2 FROM g)
+SELECT t.grp AS target, t.feature, round((t.mean - r.mean) / sqrt(t.se2 + r.se2), 6) AS statistic, round((t.se2 + r.se2) ** 2 / (t.se2 ** 2 / (t.n - 1) + r.se2 ** 2 / (r.n - 1)), 4) AS df, t.n AS n_a, r.n AS n_b
+FROM m t JOIN m r ON t.feature = r.feature AND r.grp = 'AUTOMOBILE' WHERE t.grp <> 'AUTOMOBILE'""")
+def welch_t(spark, sf_dir):
+    raw = _brand_values(spark, sf_dir).select("uid", "feature", F.col("value").alias("x"))
+    out = dex.welch(raw, _segments(spark, sf_dir), _segment_names(spark, sf_dir)[0])
+    return out.withColumn("statistic", F.round("statistic", 6)).withColumn("df", F.round("df", 4))
+
+
+@_register("""WITH p AS (SELECT p_brand AS target, p_partkey AS feature, (p_partkey * 7919 % 10007) / 10007.0 AS p_value FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY p_value, feature) AS rank, count(*) OVER (PARTITION BY target) AS n FROM p)
+SELECT target, feature, round(p_value, 9) AS p_value, round(least(1.0, min(p_value * n / rank) OVER (PARTITION BY target ORDER BY rank DESC)), 9) AS fdr FROM r""")
+def bh_fdr(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("target"), F.col("p_partkey").alias("feature"), ((F.col("p_partkey") * 7919 % 10007) / 10007.0).alias("p_value"))
+    return dex.benjamini_hochberg(p).withColumn("fdr", F.round("fdr", 9)).withColumn("p_value", F.round("p_value", 9))
+
+
+@_register(None)
+def dex_mwu(spark, sf_dir):
+    control, targets = _segment_names(spark, sf_dir)
+    return dex.dex(_brand_values(spark, sf_dir), _segments(spark, sf_dir), targets, control)
+
+
+@_register(None)
+def dex_ttest(spark, sf_dir):
+    control, targets = _segment_names(spark, sf_dir)
+    return dex.dex(_brand_values(spark, sf_dir), _segments(spark, sf_dir), targets, control, test="ttest")
+
+
+# --- intervals: events as fragments
+
+_FRAGMENTS = """
+f AS (SELECT user_id AS cell, event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(1 + floor(value) AS BIGINT) AS length FROM events)"""
+
+
+def _fragments(spark, sf_dir):
+    return stream_fragments(_read(spark, sf_dir, "events")).drop("ts")
+
+
+def _ranges(spark, sf_dir):
+    days = _fragments(spark, sf_dir).select("chrom", F.floor(F.col("start") / DAY).alias("d")).distinct()
+    return days.select("chrom", (F.col("d") * DAY).alias("start"), (F.col("d") * DAY + DAY // 2 + 60).alias("end"), F.lit(None).cast("string").alias("name"))
+
+
+_RANGES = f"""
+r AS (SELECT DISTINCT chrom, start // {DAY} * {DAY} AS start, start // {DAY} * {DAY} + {DAY // 2 + 60} AS "end" FROM f),
+peaks AS (SELECT row_number() OVER (ORDER BY chrom, start) - 1 AS range_id, chrom, start, "end", chrom || ':' || start || '-' || "end" AS name FROM r)"""
+
+
+@_register(f"""WITH {_FRAGMENTS} SELECT * FROM f WHERE chrom = 'click' AND start < 1704499200 AND start + length > 1704326400""")
+def region_query(spark, sf_dir):
+    return intervals.query_region(_fragments(spark, sf_dir), "click", 1704326400, 1704499200)
+
+
+@_register(f"""WITH {_FRAGMENTS}, {_RANGES} SELECT * FROM peaks""")
+def peak_set(spark, sf_dir):
+    return intervals.peak_set(_ranges(spark, sf_dir))
+
+
+@_register(f"""WITH {_FRAGMENTS}, {_RANGES} SELECT cell, range_id, CAST(count(*) AS INTEGER) AS n FROM f JOIN peaks p ON f.chrom = p.chrom AND f.start < p."end" AND f.start + f.length > p.start GROUP BY ALL""")
+def peak_matrix(spark, sf_dir):
+    return intervals.count_fragments(_fragments(spark, sf_dir), intervals.peak_set(_ranges(spark, sf_dir)))
+
+
+@_register(f"""WITH {_FRAGMENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY start, length, cell) - 1) // 128 AS block FROM f)
+SELECT chrom, block, max(start + length) AS end_max FROM n GROUP BY ALL""")
+def end_max(spark, sf_dir):
+    return intervals.end_max(_fragments(spark, sf_dir))
+
+
+@_register("""WITH n AS (SELECT DISTINCT 'chr' || p_size AS chrom FROM part UNION SELECT unnest(['chrX', 'chrM', 'chrY', 'KI270728.1', 'GL000194.1']))
+SELECT chrom, CAST(row_number() OVER (ORDER BY CASE WHEN regexp_matches(chrom, '^chr\\d+$') THEN 0 WHEN chrom IN ('chrX', 'chrY', 'chrM') THEN 1 ELSE 2 END,
+CASE WHEN regexp_matches(chrom, '^chr\\d+$') THEN CAST(substr(chrom, 4) AS INTEGER) WHEN chrom = 'chrX' THEN 0 WHEN chrom = 'chrY' THEN 1 WHEN chrom = 'chrM' THEN 2 END, chrom) - 1 AS INTEGER) AS rank FROM n""")
+def chrom_order(spark, sf_dir):
+    names = _read(spark, sf_dir, "part").select(F.concat(F.lit("chr"), F.col("p_size")).alias("chrom")).distinct()
+    named = names.limit(1).select(F.explode(F.array(*map(F.lit, ("chrX", "chrM", "chrY", "KI270728.1", "GL000194.1")))).alias("chrom"))
+    return intervals.chromosome_order(names.union(named))
+
+
+@_register(f"""WITH {_FRAGMENTS} SELECT cell, count(*) AS n FROM f GROUP BY 1""")
+def fragments_per_cell(spark, sf_dir):
+    return intervals.fragments_per(_fragments(spark, sf_dir), "cell")
+
+
+@_register(f"""WITH {_FRAGMENTS}, c AS (SELECT chrom, count(*) AS n FROM f GROUP BY 1)
+SELECT chrom, n, CAST(sum(n) OVER (ORDER BY chrom) - n AS BIGINT) AS begin, CAST(sum(n) OVER (ORDER BY chrom) AS BIGINT) AS "end" FROM c""")
+def chrom_offsets(spark, sf_dir):
+    return matrix.offsets(intervals.fragments_per(_fragments(spark, sf_dir), "chrom"), "chrom", "n")
+
+
+@_register(f"""WITH {_FRAGMENTS} SELECT cell, (start - 1704326400) // 3600 AS tile, count(*) AS n FROM f WHERE chrom = 'view' AND start >= 1704326400 AND start < 1704412800 GROUP BY ALL""")
+def tile_matrix(spark, sf_dir):
+    return intervals.tile_matrix(_fragments(spark, sf_dir), "view", 1704326400, 1704412800, 3600)
+
+
+@_register("SELECT event_type AS chrom, CAST(date_trunc('day', ts) AS TIMESTAMP) AS begin, count(*) AS n FROM events GROUP BY ALL")
+def daily_counts(spark, sf_dir):
+    return stream_counts(stream_fragments(_read(spark, sf_dir, "events")))
+
+
+# --- vocabularies
+
+_INPUTS = "inputs AS (SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) WHEN p_partkey % 3 = 1 THEN p_type ELSE p_type || ' x' END AS value FROM part)"
+
+
+def _inputs(spark, sf_dir):
+    key, kind = F.col("p_partkey"), F.col("p_type")
+    return _read(spark, sf_dir, "part").select(key.alias("ordinal"), F.when(key % 3 == 0, F.upper(kind)).when(key % 3 == 1, kind).otherwise(F.concat(kind, F.lit(" x"))).alias("value"))
+
+
+@_register(f"""WITH {_INPUTS}, a AS (SELECT lower(p_type) AS alias, p_brand AS id, bool_or(p_size = 1 AND p_partkey % 5 = 0) AS canonical FROM part WHERE p_partkey < 400 GROUP BY ALL),
+b AS (SELECT alias, list_sort(list(id)) AS ids, count(*) FILTER (canonical) AS nc, min(id) FILTER (canonical) AS fc FROM a GROUP BY 1)
+SELECT ordinal, value, coalesce(fc, ids[1]) AS resolved, CASE WHEN ids IS NULL THEN 0.0 WHEN nc = 1 THEN 1.0 WHEN len(ids) = 1 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence,
+coalesce(array_to_string(list_filter(ids, lambda x: x <> coalesce(fc, ids[1])), '; '), '') AS alternatives FROM inputs LEFT JOIN b ON lower(value) = alias""")
+def resolve_alias(spark, sf_dir):
+    aliases = _read(spark, sf_dir, "part").where("p_partkey < 400").select(F.lower("p_type").alias("alias"), F.col("p_brand").alias("id"), ((F.col("p_size") == 1) & (F.col("p_partkey") % 5 == 0)).alias("is_canonical"))
+    return vocabulary.resolve_aliases(_inputs(spark, sf_dir), aliases).withColumn("alternatives", F.array_join("alternatives", "; "))
+
+
+@_register("""WITH i AS (SELECT p_partkey AS ordinal, 'ENSG' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.' || p_size ELSE '' END AS value FROM part),
+f AS (SELECT 'ENSG' || p_partkey AS id, p_brand AS symbol FROM part WHERE p_size > 10)
+SELECT ordinal, value, id AS resolved, symbol, CASE WHEN id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM i LEFT JOIN f ON split_part(value, '.', 1) = id""")
+def resolve_gene_ids(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    gene = F.concat(F.lit("ENSG"), F.col("p_partkey"))
+    inputs = part.select(F.col("p_partkey").alias("ordinal"), F.when(F.col("p_partkey") % 2 == 0, F.concat(gene, F.lit("."), F.col("p_size"))).otherwise(gene).alias("value"))
+    old = part.where("p_size > 10").select(gene.alias("ensembl_gene_id"), F.lit("old").alias("symbol"), F.lit(None).cast("string").alias("assembly"))
+    new = part.where("p_size > 10").select(gene.alias("ensembl_gene_id"), F.col("p_brand").alias("symbol"), F.lit("v2").alias("assembly"))
+    return vocabulary.resolve_gene_ids(inputs, old.union(new))
+
+
+@_register("""WITH o AS (SELECT * FROM (VALUES ('Supplier#', 'any'), ('Supplier#00000001', 'few'), ('Supplier#0000000', 'some')) t(prefix, name))
+SELECT DISTINCT s_name AS value, coalesce((SELECT name FROM o WHERE starts_with(s_name, prefix) ORDER BY length(prefix) DESC LIMIT 1), 'unknown') AS organism FROM supplier""")
+def longest_prefix(spark, sf_dir):
+    organisms = spark.createDataFrame([("Supplier#", "any"), ("Supplier#00000001", "few"), ("Supplier#0000000", "some")], "prefix string, name string")
+    return vocabulary.detect_organism(_read(spark, sf_dir, "supplier").select(F.col("s_name").alias("value")), organisms)
+
+
+@_register(f"""WITH {_INPUTS}, t AS (SELECT p_brand AS term_id, min(p_type) AS name, string_agg(p_type, ' | ' ORDER BY p_partkey) AS synonyms FROM part WHERE p_size <= 10 GROUP BY 1),
+k AS (SELECT lower(trim(name)) AS key, 0 AS level, term_id, name FROM t UNION ALL SELECT lower(trim(unnest(string_split(synonyms, ' | ')))), 1, term_id, name FROM t),
+b AS (SELECT key, min((level, term_id, name)) AS m FROM k GROUP BY 1)
+SELECT ordinal, value, m[2] AS term_id, m[3] AS resolved, CASE m[1] WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM inputs LEFT JOIN b ON lower(trim(value)) = key""")
+def resolve_terms(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").where("p_size <= 10")
+    terms = part.groupBy(F.col("p_brand").alias("term_id")).agg(F.min("p_type").alias("name"), F.array_join(F.collect_list("p_type"), " | ").alias("synonyms"), F.lit(False).alias("is_obsolete"))
+    return vocabulary.resolve_terms(_inputs(spark, sf_dir), terms)
+
+
+_TREE = """tree AS (SELECT 'P:' || p_partkey AS child, 'P:' || p_partkey // 2 AS parent FROM part WHERE p_partkey > 1)"""
+
+
+def _tree(spark, sf_dir):
+    terms = _read(spark, sf_dir, "part").where("p_partkey > 1").select(F.concat(F.lit("P:"), F.col("p_partkey")).alias("term_id"), F.array(F.concat(F.lit("P:"), F.floor(F.col("p_partkey") / 2)), F.lit("Q:1")).alias("parent_ids"))
+    return vocabulary.edges(terms)
+
+
+def _starts(spark, *keys):
+    return spark.createDataFrame([(f"P:{k}",) for k in keys], "start string")
+
+
+@_register(f"""WITH RECURSIVE {_TREE}, w AS (SELECT unnest(['P:150', 'P:77', 'P:3']) AS start, CAST(NULL AS VARCHAR) AS node, 0 AS depth UNION ALL
+SELECT start, parent, depth + 1 FROM w JOIN tree ON child = coalesce(node, start) WHERE depth < 30) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 GROUP BY ALL""")
+def onto_ancestors(spark, sf_dir):
+    return vocabulary.walk(_tree(spark, sf_dir), _starts(spark, 150, 77, 3))
+
+
+@_register(f"""WITH RECURSIVE {_TREE}, w AS (SELECT unnest(['P:5', 'P:77']) AS start, CAST(NULL AS VARCHAR) AS node, 0 AS depth UNION ALL
+SELECT start, child, depth + 1 FROM w JOIN tree ON parent = coalesce(node, start) WHERE depth < 4) SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 GROUP BY ALL""")
+def onto_descendants(spark, sf_dir):
+    return vocabulary.walk(_tree(spark, sf_dir), _starts(spark, 5, 77), max_depth=4, down=True)
+
+
+@_register(f"""WITH {_TREE} SELECT DISTINCT a.child AS start, b.child AS node FROM tree a JOIN tree b ON a.parent = b.parent WHERE a.child IN ('P:5', 'P:77', 'P:150') AND a.child <> b.child""")
+def onto_siblings(spark, sf_dir):
+    return vocabulary.siblings(_tree(spark, sf_dir), _starts(spark, 5, 77, 150))
+
+
+@_register("""WITH c AS (SELECT p_partkey AS uid, p_brand || CASE p_partkey % 5 WHEN 0 THEN ' + ' WHEN 1 THEN '&' WHEN 2 THEN ' ; ' WHEN 3 THEN '|' ELSE ', ' END || p_type || '+' AS v FROM part)
+SELECT uid, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(v), '\\s*[+&;|]\\s*|\\s*,\\s+'), lambda x: trim(x)), lambda x: x <> ''), '/') AS members FROM c""")
+def combo_parse(spark, sf_dir):
+    key = F.col("p_partkey") % 5
+    sep = F.when(key == 0, " + ").when(key == 1, "&").when(key == 2, " ; ").when(key == 3, "|").otherwise(", ")
+    part = _read(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("uid"), F.array_join(labels.split_combination(F.concat("p_brand", sep, "p_type", F.lit("+"))), "/").alias("members"))
+
+
+_METHODS = ("CRISPR-KO", "crispr interference screen", "dCas9-VP64", "CRISPR", "siRNA pool", "sh RNA", "ASO", "ORF library", "none", "crispri")
+
+
+@_register("""WITH m AS (SELECT p_partkey AS uid, (['CRISPR-KO', 'crispr interference screen', 'dCas9-VP64', 'CRISPR', 'siRNA pool', 'sh RNA', 'ASO', 'ORF library', 'none', 'crispri'])[p_partkey % 10 + 1] AS v FROM part)
+SELECT uid, CASE WHEN regexp_matches(v, '(?i)crispr[\\s_-]?ko|crispr.*knockout|cas9.*ko') THEN 'CRISPRko' WHEN regexp_matches(v, '(?i)crispr[\\s_-]?i|crispr.*interference|dcas9.*krab') THEN 'CRISPRi'
+WHEN regexp_matches(v, '(?i)crispr[\\s_-]?a|crispr.*activation|dcas9.*vp64|dcas9.*p65') THEN 'CRISPRa' WHEN regexp_matches(v, '(?i)\\bsi[\\s_-]?rna\\b|small.interfering.rna') THEN 'siRNA'
+WHEN regexp_matches(v, '(?i)\\bsh[\\s_-]?rna\\b|short.hairpin.rna') THEN 'shRNA' WHEN regexp_matches(v, '(?i)\\baso\\b|antisense.oligo') THEN 'ASO'
+WHEN regexp_matches(v, '(?i)overexpression|over[\\s_-]?express|oe\\b|orf\\b|gain.of.function') THEN 'overexpression' WHEN regexp_matches(v, '(?i)\\bcrispr\\b') THEN 'CRISPRko' END AS method FROM m""")
+def method_classify(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, _METHODS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), labels.perturbation_method(text).alias("method"))
+
+
+_LABELS = (" DMSO", "Ctrl", "TP53", "nt", "lacZ", "Empty Vector", "saline ", "etoh", "imatinib", "scrambled")
+
+
+@_register("""WITH l AS (SELECT p_partkey AS uid, lower(trim(([' DMSO', 'Ctrl', 'TP53', 'nt', 'lacZ', 'Empty Vector', 'saline ', 'etoh', 'imatinib', 'scrambled'])[p_partkey % 10 + 1])) AS v FROM part)
+SELECT uid, v NOT IN ('tp53', 'imatinib') AS is_control, CASE v WHEN 'dmso' THEN 'DMSO' WHEN 'ctrl' THEN 'control' WHEN 'nt' THEN 'nontargeting' WHEN 'lacz' THEN 'lacz' WHEN 'empty vector' THEN 'empty_vector'
+WHEN 'saline' THEN 'saline' WHEN 'etoh' THEN 'ethanol' WHEN 'scrambled' THEN 'scramble' END AS kind FROM l""")
+def control_detect(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), labels.is_control_label(text).alias("is_control"), labels.negative_control_type(text).alias("kind"))
+
+
+@_register("""WITH c AS (SELECT p_partkey AS uid, p_brand || CASE p_partkey % 4 WHEN 0 THEN ' hydrochloride salt' WHEN 1 THEN ' (free base)' WHEN 2 THEN ' Sodium' ELSE '' END AS v FROM part)
+SELECT uid, trim(regexp_replace(regexp_replace(trim(v), '(?i)\\s*\\([^)]*(?:salt|form|hydrate|anhydrous|free\\s+base)[^)]*\\)\\s*$', ''), '(?i)\\s*\\b(hydrochloride|sodium|salt)\\b.*$', '')) AS name FROM c""")
+def clean_compound(spark, sf_dir):
+    key = F.col("p_partkey") % 4
+    text = F.concat("p_brand", F.when(key == 0, " hydrochloride salt").when(key == 1, " (free base)").when(key == 2, " Sodium").otherwise(""))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), labels.clean_compound_name(text).alias("name"))
+
+
+@_register("""WITH s AS (SELECT n_name AS name, n_nationkey AS k FROM nation)
+SELECT name, CASE WHEN k < 20 THEN name END AS sequence_name, CASE WHEN k < 5 THEN 'chromosome' WHEN k < 20 THEN 'scaffold' ELSE 'other' END AS role FROM s""")
+def sequence_lookup(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    none = F.lit(None).cast("string")
+    role = labels.sequence_role(F.when(k < 5, "assembled-molecule").otherwise("unplaced-scaffold"), F.lit("Chromosome"))
+    table = nation.where(k < 20).select(F.col("n_name").alias("sequence_name"), role.alias("sequence_role"), F.when(k % 2 == 0, F.col("n_name")).otherwise(none).alias("ucsc_name"), F.when(k % 2 == 1, F.col("n_name")).otherwise(none).alias("genbank_accession"), none.alias("refseq_accession"))
+    return vocabulary.lookup_sequences(nation.select(F.col("n_name").alias("name")), table)
+
+
+@_register("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pmid' WHEN page_id % 3 = 1 THEN 'doi' WHEN contains(url, '/10.') THEN 'doi' ELSE 'title' END AS kind FROM pages""")
+def publication_type(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    key = F.col("page_id")
+    text = F.when(key % 3 == 0, F.concat(F.lit(" "), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("10."), key.cast("string"))).otherwise(F.col("url"))
+    return pages.select("page_id", labels.publication_id_type(text).alias("kind"))
+
+
+# --- search
+
+
+def _knn(spark, sf_dir, metric):
+    emb = _read(spark, sf_dir, "embeddings")
+    query = emb.where("vec_id = 7").select("embedding").first()[0]
+    return search.nearest(emb, "embedding", query, 10, "vec_id", metric).select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+def _knn_sql(expression: str) -> str:
+    return f"SELECT vec_id, label, round({expression}, 5) AS distance FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS q FROM embeddings) ORDER BY {expression}, vec_id LIMIT 10"
+
+
+@_register(_knn_sql("list_distance(e, q)"))
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir, "l2")
+
+
+@_register(_knn_sql("1 - list_cosine_similarity(e, q)"))
+def knn_cosine(spark, sf_dir):
+    return _knn(spark, sf_dir, "cosine")
+
+
+@_register(_knn_sql("-list_inner_product(e, q)"))
+def knn_dot(spark, sf_dir):
+    return _knn(spark, sf_dir, "dot")
+
+
+@_register("""WITH q AS (SELECT unnest(['the', 'ouwhea', 'rights']) AS word),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM d),
+t AS (SELECT doc_id, n, word, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+r AS (SELECT word, count(*) AS df FROM t GROUP BY 1)
+SELECT doc_id AS doc, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 5) AS score FROM t JOIN r USING (word), s GROUP BY doc_id""")
+def bm25(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    asked = spark.createDataFrame([(0, "The ouwhea RIGHTS")], "query int, text string")
+    return search.bm25(asked, docs).select("doc", F.round("score", 5).alias("score"))
+
+
+@_register("""WITH v AS (SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id % 17, vec_id) AS r FROM embeddings WHERE vec_id < 60), t AS (SELECT doc_id AS key, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE doc_id < 80)
+SELECT key, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM t) GROUP BY 1""")
+def hybrid_fusion(spark, sf_dir):
+    near = _read(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("key"), (F.col("vec_id") % 17).alias("distance"))
+    text = _read(spark, sf_dir, "documents").where("doc_id < 80").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("score"))
+    return search.fuse(near, text).select("key", F.round("score", 9).alias("score"))
+
+
+# --- batches
+
+
+@_register(f"""WITH {_CELLS}, p AS (SELECT uid, grp, md5(uid || ':' || '45') AS k FROM cells), o AS (SELECT uid, grp, row_number() OVER (ORDER BY k, uid) - 1 AS ordinal FROM p)
+SELECT uid, CAST(grp AS VARCHAR) AS grp, 0 AS worker, ordinal, ordinal // 256 AS worker_batch, ordinal // 256 AS batch FROM o""")
+def batch_plan(spark, sf_dir):
+    cells = driver_atlas(spark, sf_dir).cells.select("uid", F.col("dataset_uid").alias("grp"))
+    plan = batches.batch_plan(cells, 256, seed=42, epoch=3)
+    nation = _read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("string").alias("g"))
+    return plan.join(F.broadcast(nation), F.col("grp") == F.col("n_name")).select("uid", F.col("g").alias("grp"), "worker", "ordinal", "worker_batch", "batch")
+
+
+@_register(None)
+def batch_plan_workers(spark, sf_dir):
+    cells = driver_atlas(spark, sf_dir).cells.select("uid", F.col("dataset_uid").alias("grp"))
+    return batches.batch_plan(cells, 256, seed=42, drop_last=True, workers=4)
+
+
+@_register(f"""WITH {_CELLS}, c AS (SELECT uid, row_number() OVER (ORDER BY md5(uid || ':' || '0'), uid) - 1 AS ordinal FROM cells WHERE has_sales AND o_orderstatus = 'P')
+SELECT ordinal // 64 AS batch, count(DISTINCT uid) AS n_cells, count(DISTINCT (uid, l_partkey)) AS n_values, sum(l_quantity) AS total FROM c JOIN lineitem ON uid = l_orderkey GROUP BY 1""")
+def cell_dataset(spark, sf_dir):
+    _, rows = driver_atlas(spark, sf_dir).query().where("o_orderstatus = 'P'").to_cell_dataset(SALES, batch_size=64)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("batch", F.size("uids").cast("long").alias("n_cells"), F.size("values").cast("long").alias("n_values"), total.alias("total"))
