@@ -81,7 +81,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
         s, e = start[i:j] - start[i], end[i:j] - start[i]
         longest = int((e - s).max())
         if len(powers) < longest:
-            powers = np.multiply.accumulate(np.full(longest, base, dtype=np.uint64))
+            powers = np.concatenate((np.ones(1, dtype=np.uint64), np.multiply.accumulate(np.full(longest - 1, base, dtype=np.uint64))))
         place = np.arange(int(e[-1]), dtype=np.int64)
         held = np.diff(np.append(s, e[-1]))
         place -= np.repeat(s, held)
