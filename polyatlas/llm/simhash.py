@@ -106,12 +106,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     rows each return; rows of null doc_id return but never name a component.
     """
     fps = materialize(fingerprints(docs, width), "fp")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    pairs = materialize(near_pairs(fps, "fp", max_distance), "pairs")
-    roots = connected_components(pairs, "a", "b")
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "classes")
-    linked = named.join(named.where("root <> fp").select("root").distinct(), "root", "left_semi")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a class of equal fingerprints is a node named by its least doc_id; one of unnamed rows only gets a name above all ids
+    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
+    classes = fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least")).select("fp", F.coalesce("least", spare).alias("node"))
+    classes = materialize(classes, "classes")
+    pairs = near_pairs(classes, "fp", max_distance)
+    pairs = pairs.join(classes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    roots = connected_components(pairs, "u", "v")
+    least = F.coalesce("root", "node")
+    by_fp = classes.join(roots, "node", "left").select("fp", F.when(least < 1 << 62, least).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
