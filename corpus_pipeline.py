@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from polyatlas.llm import langid, linedup, packing, simhash, substring
 from polyatlas.llm.store import materialize, row_key, table
 
-#: A language less sure than this is rejected like an undetermined one.
-MIN_LANGUAGE_SCORE = 0.35
-
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars, where there is such a column, of the text as it is now."""
@@ -18,9 +15,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones; null, letterless and doubtful texts go."""
+    """Documents with a language; null and letterless texts go. A doubtful score is no reason: mixed and short texts are clean too."""
     judged = langid.identify(docs, langid.fit(docs), *docs.columns)
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
