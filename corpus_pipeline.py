@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from polyatlas.llm import langid, linedup, packing, simhash, substring
 from polyatlas.llm.store import materialize, row_key, table
 
+#: Near copies are texts of this Jaccard similarity of five-word shingles, or of fingerprints within three bits.
+SIMILARITY = 0.8
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars, where there is such a column, of the text as it is now."""
@@ -27,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near copies; rows without doc_id stay."""
-    groups = materialize(simhash.near_duplicates(docs), "groups")
+    groups = materialize(simhash.near_duplicates(docs, similarity=SIMILARITY), "groups")
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     stay = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(row_key()))

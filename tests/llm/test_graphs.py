@@ -147,9 +147,10 @@ def test_pipeline(spark, sf_dir, documents, odd, none):
     assert ids(seen["language_id"]) == ids(judged.where("lang_pred <> 'und'"))
     assert ids(seen["line_dedup"]) == ids(seen["language_id"])
     from test_text_operators import components as brute
-    from test_text_operators import cut_windows, fingerprint
+    from test_text_operators import cut_windows, fingerprint, similar
 
-    groups = brute({r["doc_id"]: fingerprint(r["text"]) for r in seen["line_dedup"].collect()})
+    texts = {r["doc_id"]: r["text"] for r in seen["line_dedup"].collect()}
+    groups = brute({d: fingerprint(t) for d, t in texts.items()}, similar(texts))
     assert ids(seen["near_dedup"]) == set(groups.values())
     rows = seen["near_dedup"].orderBy("doc_id").collect()
     want = {r["doc_id"]: (kept if gone else r["text"]) for r, (_, gone, kept) in zip(rows, cut_windows([r["text"] for r in rows]), strict=True)}

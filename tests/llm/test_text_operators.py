@@ -32,8 +32,18 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(fps):
-    """Smallest key reachable over links of three bits or fewer, by brute force."""
+def similar(texts, least=0.8):
+    """Pairs of keys whose sets of five-word shingles have this Jaccard similarity, by brute force."""
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(low(t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    keys = sorted(d for d in sets if sets[d])
+    return [(a, b) for i, a in enumerate(keys) for b in keys[:i] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def components(fps, more=()):
+    """Smallest key reachable over links of three bits or fewer, and ``more`` links, by brute force."""
     keys, root = sorted(fps), {k: k for k in fps}
 
     def find(x):
@@ -46,6 +56,9 @@ def components(fps):
         for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 3):
             a, b = find(k), find(keys[j])
             root[max(a, b)] = min(a, b)
+    for a, b in more:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
     return {k: find(k) for k in keys}
 
 
@@ -81,6 +94,22 @@ def test_near_pairs_are_complete(spark):
     assert {(r["a"], r["b"]) for r in simhash.near_pairs(df).collect()} == want
 
 
+def test_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    texts = {}
+    for i in range(30):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        for j, edits in enumerate((0, 1, 2, 3, 4, 6, 9)):
+            copy = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                copy[at] = "edit"
+            texts[10 * i + j] = " ".join(copy)
+    df = spark.createDataFrame([*texts.items(), (1000, None), (1001, "")], "doc_id long, text string")
+    want = components({d: fingerprint(t) for d, t in texts.items()}, similar(texts))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    assert got == want | {1000: 1000, 1001: 1000}
+
+
 def test_simhash_odd_rows(odd, none):
     got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
