@@ -121,8 +121,10 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5) ->
     Fingerprints within three bits miss most pairs of similarity 0.8, so here
     candidates share one of BANDS bands of BAND_ROWS minima of hashed shingles
     (all but one in 2,000 pairs of similarity 0.8 do); each is held against the
-    least node of its band's bucket, never against all, and then measured
-    exactly on the whole sets. Wordless texts pair with nothing here.
+    least and the greatest node of its band's bucket, never against all, and
+    then measured exactly on the whole sets. That is every pair in buckets of up
+    to three; in larger ones a pair similar to neither end in any shared band
+    can be missed. Wordless texts pair with nothing here.
     """
     multipliers = np.random.default_rng(17).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -139,8 +141,8 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5) ->
         yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))], ["node", "keys"])
 
     rows = materialize(texts.select("node", "text").mapInArrow(bands, "node long, keys array<long>"), "bands").select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most").select("key", "v")
-    pairs = materialize(rows.join(shared, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "candidates")
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", F.explode(F.array("least", "most")).alias("v"))
+    pairs = materialize(rows.join(shared, "key").where("node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "candidates")
     named = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "named")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
