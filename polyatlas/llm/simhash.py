@@ -17,6 +17,8 @@ from .store import materialize
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
 BANDS, BAND_ROWS = 20, 5
+#: Long words of the bitmap of a shingle set, and rows of a band's bucket that one task holds against the whole bucket.
+BITMAP_LONGS, BUCKET_ROWS = 8, 512
 
 
 def _bit_sums(hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
@@ -115,16 +117,32 @@ def _each_text(batches: Iterator[pa.RecordBatch], width: int):
                 yield keys[a + r], _shingles(words[first[r] : first[r + 1]], width)
 
 
-def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(u, v) of rows of ``texts`` (node, text) whose sets of ``width``-word shingles have this Jaccard similarity or more.
+def _bitmap(x: np.ndarray) -> np.ndarray:
+    """A bit set for each of the hashes, in BITMAP_LONGS long words."""
+    bits = np.zeros(64 * BITMAP_LONGS, dtype=np.uint8)
+    bits[tv.mix(x) % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _only_in(a: str, b: str) -> Column:
+    """Bits of bitmap ``a`` that ``b`` lacks: the set of ``a`` has at least so many members that are not in that of ``b``."""
+    return sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[i]))) for i in range(BITMAP_LONGS)), F.lit(0))
+
+
+def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """(u, v) that join all rows of ``texts`` (node, text) whose sets of ``width``-word shingles have this Jaccard similarity or more.
 
     Fingerprints within three bits miss most pairs of similarity 0.8, so here
     candidates share one of BANDS bands of BAND_ROWS minima of hashed shingles
-    (all but one in 2,000 pairs of similarity 0.8 do); each is held against the
-    least and the greatest node of its band's bucket, never against all, and
-    then measured exactly on the whole sets. That is every pair in buckets of up
-    to three; in larger ones a pair similar to neither end in any shared band
-    can be missed. Wordless texts pair with nothing here.
+    (all but one in 2,000 pairs of similarity 0.8 do). Each is held against the
+    least and the greatest node of its band's bucket first. What these links and
+    the ``known`` ones (u, v) leave in different components is then held pair by
+    pair, so every pair of a bucket is measured or already in one component;
+    linked rows stay in their bucket, as a third row can be similar to them and
+    not to the end. A pair is left out of the exact measure only where the sizes
+    or bitmaps of the sets prove it below ``similarity``. The cost of the second
+    pass is the rows outside a bucket's largest component times its rows.
+    Wordless texts pair with nothing here.
     """
     multipliers = np.random.default_rng(17).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -147,13 +165,34 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, x in _each_text(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([node], type=pa.int64()), pa.array([x.view(np.int64)], type=pa.list_(pa.int64()))], ["node", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([node], type=pa.int64()), *(pa.array([v], type=pa.list_(pa.int64())) for v in (x.view(np.int64), _bitmap(x)))], ["node", "x", "bits"])
 
     kept = texts.select("node", "text").join(named.hint("merge"), "node", "left_semi")
-    kept = materialize(kept.mapInArrow(sets, "node long, x array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(kept.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(kept.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
-    inter = F.size(F.array_intersect("a", "b"))
-    return both.where(inter >= similarity * (F.size("a") + F.size("b") - inter)).select("u", "v")
+    kept = materialize(kept.mapInArrow(sets, "node long, x array<long>, bits array<long>").dropDuplicates(["node"]), "sets")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(kept.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(kept.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
+        inter = F.size(F.array_intersect("a", "b"))
+        return both.where(inter >= similarity * (F.size("a") + F.size("b") - inter)).select("u", "v")
+
+    links = materialize(measured(pairs), "links")
+    roots = connected_components(links if known is None else links.union(known.select("u", "v")), "u", "v")
+    # buckets that still hold several components, with the largest of them and the ends, which have been held against all
+    placed = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"))
+    open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min("least").alias("least"), F.max("most").alias("most")).where("n > 3 and parts > 1")
+    salts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    inner = placed.join(open_.select("key", "main", "least", "most", salts.alias("salts")), "key").where("node <> least and node <> most")
+    inner = materialize(inner.join(kept.select("node", F.size("x").alias("size"), "bits"), "node").select("key", "node", "root", "main", "size", "bits", "salts"), "inner")
+    a = inner.where("root <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("a")
+    b = inner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    once = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") > F.col("b.node")))
+    # the most that two sets can share, by either bitmap
+    inter = F.least(F.col("a.size") - _only_in("a", "b"), F.col("b.size") - _only_in("b", "a"))
+    able = inter >= similarity * (F.col("a.size") + F.col("b.size") - inter)
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt"))
+    rest = a.join(b, same & once & able).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    return links.union(measured(materialize(rest, "rest")))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, similarity: float | None = None) -> DataFrame:
@@ -179,7 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
         # one text for each class: rows of one doc_id are told apart by their fingerprint
         text = F.col("text").cast("string")
         first = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text.alias("text"))
-        pairs = pairs.union(similar_pairs(first.join(classes.where(F.col("node") < 1 << 62).select("node").hint("merge"), "node", "left_semi"), similarity))
+        pairs = materialize(pairs, "near")
+        pairs = pairs.union(similar_pairs(first.join(classes.where(F.col("node") < 1 << 62).select("node").hint("merge"), "node", "left_semi"), similarity, known=pairs))
     roots = connected_components(pairs, "u", "v")
     least = F.coalesce("root", "node")
     by_fp = classes.join(roots, "node", "left").select("fp", F.when(least < 1 << 62, least).alias("component_id"))

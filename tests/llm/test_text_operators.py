@@ -110,6 +110,26 @@ def test_similar_texts(spark):
     assert got == want | {1000: 1000, 1001: 1000}
 
 
+def test_similar_texts_in_large_buckets(spark):
+    """Texts that share a passage, so one bucket holds many of them, and pairs of near copies similar to neither end of it."""
+    rng = np.random.default_rng(21)
+    common = [f"c{k}" for k in range(205)]
+    texts = {}
+    for i in range(60):
+        own = [f"w{k}" for k in rng.integers(0, 10**6, 32)]
+        for j in range(2):
+            own[10 + 10 * j] = f"edit{j}"
+            texts[2 * i + j] = " ".join(common + own)
+    # a chain: 500 is like the end 499 and 501, which is not like the end
+    words = [f"v{k}" for k in range(200)]
+    texts |= {499: " ".join(words), 500: " ".join([*words[18:], *(f"x{k}" for k in range(18))]), 501: " ".join([*words[36:], *(f"x{k}" for k in range(36))])}
+    df = spark.createDataFrame([*texts.items()], "node long, text string")
+    pairs = similar(texts)
+    assert (500, 499) in pairs and (501, 500) in pairs and (501, 499) not in pairs and len(pairs) >= 62
+    found = {(r["u"], r["v"]) for r in simhash.similar_pairs(df).collect()}
+    assert found == set(pairs)
+
+
 def test_simhash_odd_rows(odd, none):
     got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
