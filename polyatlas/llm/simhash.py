@@ -46,16 +46,23 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * _bit_sums(hashes) > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp long) of every row; null or wordless texts get zero."""
+def _words_digest(text: str | None) -> int:
+    """XXH64 (seed 7) of the words of one text, equal for texts that differ in case of A-Z or in white space only."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split()), 7)
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, digests: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row, with ``digests`` also a digest of its words; null or wordless texts get zero."""
+    functions = {"fp": lambda t: fingerprint(t, width)} | ({"words": _words_digest} if digests else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            made = [np.fromiter(map(f, texts), dtype=np.uint64, count=batch.num_rows) for f in functions.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in made)], ["doc_id", *functions])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in functions)]))
 
 
 def _counts(word: Column) -> Column:
@@ -203,11 +210,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     wordless one has fingerprint zero and links like any other. component_id is
     the smallest doc_id reachable over links of at most ``max_distance``
     differing bits, and, where ``similarity`` is given, of that Jaccard similarity
-    of five-word shingles (see ``similar_pairs``). Links are made between distinct fingerprints only, so a
+    of five-word shingles (see ``similar_pairs``). Links of bits are made between
+    distinct fingerprints only, those of similarity between distinct texts, so a
     large group of copies costs one node. Extra columns are ignored, repeated
     rows each return; rows of null doc_id return but never name a component.
     """
-    fps = materialize(fingerprints(docs, width), "fp")
+    fps = materialize(fingerprints(docs, width, similarity is not None), "fp")
     # a class of equal fingerprints is a node named by its least doc_id; one of unnamed rows only gets a name above all ids
     spare = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
     classes = fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least")).select("fp", F.coalesce("least", spare).alias("node"))
@@ -215,11 +223,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     pairs = near_pairs(classes, "fp", max_distance)
     pairs = pairs.join(classes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     if similarity is not None:
-        # one text for each class: rows of one doc_id are told apart by their fingerprint
-        text = F.col("text").cast("string")
-        first = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text.alias("text"))
-        pairs = materialize(pairs, "near")
-        pairs = pairs.union(similar_pairs(first.join(classes.where(F.col("node") < 1 << 62).select("node").hint("merge"), "node", "left_semi"), similarity, known=pairs))
+        # a node for each distinct text, linked to that of its fingerprint, which is not its text's alone
+        texts = fps.where("doc_id is not null").groupBy("fp", "words").agg(F.min(F.col("doc_id").cast("long")).alias("u"))
+        texts = materialize(texts.join(classes.select("fp", F.col("node").alias("v")), "fp").select("u", "v"), "texts")
+        pairs = materialize(pairs.union(texts.where("u <> v")), "near")
+        named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+        first = named.join(texts.select(F.col("u").alias("node")).hint("merge"), "node", "left_semi")
+        pairs = pairs.union(similar_pairs(first, similarity, known=pairs))
     roots = connected_components(pairs, "u", "v")
     least = F.coalesce("root", "node")
     by_fp = classes.join(roots, "node", "left").select("fp", F.when(least < 1 << 62, least).alias("component_id"))

@@ -130,6 +130,18 @@ def test_similar_texts_in_large_buckets(spark):
     assert found == set(pairs)
 
 
+def test_similar_to_another_text_of_the_fingerprint(spark):
+    """Texts 1 and 2 share a fingerprint, set by a passage repeated in them; 3 is like 2 alone."""
+    block = [f"r{k}" for k in range(41)]
+    tail = lambda c: [f"{c}{k}" for k in range(60)]
+    texts = {1: " ".join(block * 301 + tail("a")), 2: " ".join(block * 301 + tail("b")), 3: " ".join(block + tail("b")), 4: "no copy of any other text here"}
+    fps = {d: fingerprint(t) for d, t in texts.items()}
+    assert fps[1] == fps[2] and (fps[1] ^ fps[3]).bit_count() > 3 and similar(texts) == [(3, 2)]
+    df = spark.createDataFrame([*texts.items(), (5, texts[2].upper())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    assert got == components(fps, similar(texts)) | {5: 1} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+
+
 def test_simhash_odd_rows(odd, none):
     got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
