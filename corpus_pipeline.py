@@ -19,7 +19,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null and letterless texts go. A doubtful score is no reason: mixed and short texts are clean too."""
-    judged = langid.identify(docs, langid.fit(docs), *docs.columns)
+    model = langid.fit(docs)
+    if model is None:  # no row has a label to learn from, which is no reason against any text
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    judged = langid.identify(docs, model, *docs.columns)
     return judged.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 

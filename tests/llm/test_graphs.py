@@ -160,3 +160,10 @@ def test_pipeline(spark, sf_dir, documents, odd, none):
         for name, stage in corpus_pipeline.STAGES:
             odd_docs = stage(spark, odd_docs, sf_dir)
             odd_docs.collect()
+
+
+def test_language_stage_keeps_unlabelled_texts(spark):
+    rows = [(1, "words of some language", None), (2, "é", None), (3, "12 !!", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
