@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,10 @@ from .store import materialize
 
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
+#: Near copies are texts of this Jaccard similarity of five-word shingles, or of fingerprints within MAX_DISTANCE bits.
+SIMILARITY = 0.8
+#: Blocks of four 2-bit segments each.
+BLOCKS = 8
 BANDS, BAND_ROWS = 20, 5
 #: Long words of the bitmap of a shingle set, and rows of a band's bucket that one task holds against the whole bucket.
 BITMAP_LONGS, BUCKET_ROWS = 8, 512
@@ -46,39 +51,36 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * _bit_sums(hashes) > n, bitorder="little").view("<u8")[0])
 
 
-def _words_digest(text: str | None) -> int:
-    """XXH64 (seed 7) of the words of one text, equal for texts that differ in case of A-Z or in white space only."""
-    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split()), 7)
+def _words_digest(text: str | None, seed: int) -> int:
+    """Half of a 128-bit digest of the words of one text, equal for texts that differ in case of A-Z or in white space only."""
+    digest = xxhash.xxh3_128_intdigest(b" ".join((text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split()))
+    return digest >> 64 if seed else digest & (2**64 - 1)
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, digests: bool = False) -> DataFrame:
-    """(doc_id, fp long) of every row, with ``digests`` also a digest of its words; null or wordless texts get zero."""
-    functions = {"fp": lambda t: fingerprint(t, width)} | ({"words": _words_digest} if digests else {})
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, digests: bool = False, key: str = "doc_id") -> DataFrame:
+    """(``key``, fp long) of every row, with ``digests`` also w0 and w1, a digest of its words; null or wordless texts get zero."""
+    functions = {"fp": lambda t: fingerprint(t, width)} | ({"w0": lambda t: _words_digest(t, 0), "w1": lambda t: _words_digest(t, 1)} if digests else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             made = [np.fromiter(map(f, texts), dtype=np.uint64, count=batch.num_rows) for f in functions.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in made)], ["doc_id", *functions])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in made)], [key, *functions])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in functions)]))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} long" for c in functions)]))
 
 
-def _counts(word: Column) -> Column:
-    """Sixteen 2-bit segments of a 32-bit half, each replaced by its bit count (0 to 2)."""
-    return word.bitwiseAND(0x55555555) + F.shiftrightunsigned(word, 1).bitwiseAND(0x55555555)
-
-
-def _near_cells(cell: Column) -> Column:
-    """The cell itself and every cell one step away along one axis of the 16-dimensional grid."""
-    steps = []
-    for i in range(16):
-        at = F.shiftright(cell, 2 * i).bitwiseAND(3)
-        unit = 1 << (2 * i)
-        steps.append(F.when(at < 2, cell + F.lit(unit).cast("long")))
-        steps.append(F.when(at > 0, cell - F.lit(unit).cast("long")))
-    return F.array_compact(F.array(cell, *steps))
+def _cells(fp: Column) -> Column:
+    """The keys of the cells of a fingerprint in every sub-grid: its counts in FREE of BLOCKS blocks left open, the others exact."""
+    ones = 0x5555555555555555
+    odd, even = fp.bitwiseAND(ones), F.shiftrightunsigned(fp, 1).bitwiseAND(ones)
+    counts = odd.bitwiseXOR(even).bitwiseOR(F.shiftleft(odd.bitwiseAND(even), 1))  # their sums by segment, without a carry
+    keys = []
+    for open_ in combinations(range(BLOCKS), MAX_DISTANCE):
+        mask = sum(0xFF << (8 * i) for i in range(BLOCKS) if i not in open_)
+        keys.append(F.xxhash64(F.lit(len(keys)), counts.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+    return F.array(*keys)
 
 
 def near_pairs(fps: DataFrame, fp: str = "fp", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -86,22 +88,19 @@ def near_pairs(fps: DataFrame, fp: str = "fp", max_distance: int = MAX_DISTANCE)
 
     Each fingerprint is mapped to 32 bit counts of 2-bit segments; the Manhattan
     distance of two such vectors never exceeds the Hamming distance of the
-    fingerprints. Within distance 3, one 16-segment half is within Manhattan
-    distance 1, so one side visits its own grid cell of each half and all cells
-    one step away, the other side only its own: an equi-join on (half, cell).
-    The Hamming distance is then tested exactly. Every pair is found whatever
-    the data; nothing is capped.
+    fingerprints. The 32 axes form eight blocks. Within Manhattan distance 3 at
+    most three blocks differ, so two such vectors share a cell in one of the 56
+    sub-grids that leave three blocks open: an equi-join on (sub-grid, cell)
+    with twenty exact axes, which random fingerprints share once in some six
+    million pairs over all sub-grids. The Hamming distance is then tested
+    exactly. Every pair is found whatever the data; nothing is capped.
     """
-    if not 0 <= max_distance <= 3:
-        raise ValueError("max_distance must be 0 to 3")
-    low = F.col("fp").bitwiseAND(0xFFFFFFFF)
-    high = F.shiftrightunsigned("fp", 32)
-    base = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().select("fp", _counts(low).alias("c0"), _counts(high).alias("c1"))
-    halves = lambda f: base.select("fp", F.inline(F.array(*(F.struct(F.lit(h).alias("half"), f(F.col(f"c{h}")).alias("cell")) for h in (0, 1)))))
-    own = halves(lambda c: c).withColumnRenamed("fp", "b")
-    near = halves(_near_cells).select(F.col("fp").alias("a"), "half", F.explode("cell").alias("cell"))
-    hit = near.join(own, ["half", "cell"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance))
-    return hit.select("a", "b").distinct()
+    if not 0 <= max_distance <= MAX_DISTANCE:
+        raise ValueError(f"max_distance must be 0 to {MAX_DISTANCE}")
+    base = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    placed = base.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
+    hit = placed.alias("x").join(placed.alias("y"), F.col("x.cell") == F.col("y.cell")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return hit.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).distinct()
 
 
 def _shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -137,7 +136,7 @@ def _only_in(a: str, b: str) -> Column:
 
 
 def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, known: DataFrame | None = None) -> DataFrame:
-    """(u, v) that join all rows of ``texts`` (node, text) whose sets of ``width``-word shingles have this Jaccard similarity or more.
+    """(u, v) that join all rows of ``texts`` (node, text; nodes unique) whose sets of ``width``-word shingles have this Jaccard similarity or more.
 
     Fingerprints within three bits miss most pairs of similarity 0.8, so here
     candidates share one of BANDS bands of BAND_ROWS minima of hashed shingles
@@ -175,7 +174,7 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, kno
             yield pa.RecordBatch.from_arrays([pa.array([node], type=pa.int64()), *(pa.array([v], type=pa.list_(pa.int64())) for v in (x.view(np.int64), _bitmap(x)))], ["node", "x", "bits"])
 
     kept = texts.select("node", "text").join(named.hint("merge"), "node", "left_semi")
-    kept = materialize(kept.mapInArrow(sets, "node long, x array<long>, bits array<long>").dropDuplicates(["node"]), "sets")
+    kept = materialize(kept.mapInArrow(sets, "node long, x array<long>, bits array<long>"), "sets")
 
     def measured(pairs: DataFrame) -> DataFrame:
         both = pairs.join(kept.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(kept.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
@@ -202,35 +201,56 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, kno
     return links.union(measured(materialize(rest, "rest")))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     Words are runs outside white space after lower-casing A-Z; shingles of
     ``width`` words count with repeats, a shorter text is one shingle, a null or
     wordless one has fingerprint zero and links like any other. component_id is
     the smallest doc_id reachable over links of at most ``max_distance``
-    differing bits, and, where ``similarity`` is given, of that Jaccard similarity
-    of five-word shingles (see ``similar_pairs``). Links of bits are made between
-    distinct fingerprints only, those of similarity between distinct texts, so a
-    large group of copies costs one node. Extra columns are ignored, repeated
-    rows each return; rows of null doc_id return but never name a component.
+    differing bits. Links are made between distinct fingerprints only, so a
+    large group of copies costs one node. doc_id is of any ordered type. Extra
+    columns are ignored, repeated rows each return; rows of null doc_id return
+    but never name a component, and rows that share a doc_id are linked by their
+    fingerprints alone.
     """
-    fps = materialize(fingerprints(docs, width, similarity is not None), "fp")
-    # a class of equal fingerprints is a node named by its least doc_id; one of unnamed rows only gets a name above all ids
-    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
-    classes = fps.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("least")).select("fp", F.coalesce("least", spare).alias("node"))
-    classes = materialize(classes, "classes")
+    fps = materialize(fingerprints(docs, width), "fp")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    # a node orders by the least doc_id of its class, so a component's root names it
+    nodes = classes.select("fp", F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("node"))
     pairs = near_pairs(classes, "fp", max_distance)
-    pairs = pairs.join(classes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    if similarity is not None:
-        # a node for each distinct text, linked to that of its fingerprint, which is not its text's alone
-        texts = fps.where("doc_id is not null").groupBy("fp", "words").agg(F.min(F.col("doc_id").cast("long")).alias("u"))
-        texts = materialize(texts.join(classes.select("fp", F.col("node").alias("v")), "fp").select("u", "v"), "texts")
-        pairs = materialize(pairs.union(texts.where("u <> v")), "near")
-        named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-        first = named.join(texts.select(F.col("u").alias("node")).hint("merge"), "node", "left_semi")
-        pairs = pairs.union(similar_pairs(first, similarity, known=pairs))
-    roots = connected_components(pairs, "u", "v")
-    least = F.coalesce("root", "node")
-    by_fp = classes.join(roots, "node", "left").select("fp", F.when(least < 1 << 62, least).alias("component_id"))
+    pairs = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    roots = connected_components(pairs, "u", "v").select(F.col("node.fp").alias("fp"), F.struct(F.col("root.least").alias("least")).alias("named"))
+    by_fp = classes.join(roots, "fp", "left").select("fp", F.when(F.col("named").isNull(), F.col("least")).otherwise(F.col("named.least")).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group one stays, as it is.
+
+    Texts link if their fingerprints differ in ``max_distance`` bits or fewer
+    (see ``near_duplicates``), or if their sets of five-word shingles have this
+    Jaccard ``similarity`` or more (see ``similar_pairs``); a group is what links
+    reach. The row of least doc_id stays, null last, ties by the hash of all
+    columns, so of equal rows one stays. A row is known by a number of its own,
+    given once and written, not by its doc_id: ids may repeat, be null or of any
+    type. Null and wordless texts are copies of one another. Each distinct text
+    is one node, whatever its copies; columns of any name are kept.
+    """
+    taken = set(docs.columns)
+    own = next(c for c in (f"row_{i}" for i in range(len(taken) + 1)) if c not in taken)
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("tie"), F.col(own).alias("row"))
+    rows = numbered.select(F.col(own).alias("row"), F.col("text").cast("string").alias("text"))
+    fps = materialize(fingerprints(rows, width, True, "row"), "fp")
+    texts = materialize(fps.groupBy("fp", "w0", "w1").agg(F.min("row").alias("u")), "texts")
+    classes = materialize(texts.groupBy("fp").agg(F.min("u").alias("v")), "classes")
+    pairs = near_pairs(classes, "fp", max_distance)
+    pairs = pairs.join(classes.select(F.col("fp").alias("a"), F.col("v").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), "v"), "b").select("u", "v")
+    known = materialize(pairs.union(texts.join(classes, "fp").where("u <> v").select("u", "v")), "near")
+    first = rows.join(texts.select(F.col("u").alias("row")).hint("merge"), "row", "left_semi").withColumnRenamed("row", "node")
+    roots = connected_components(known.union(similar_pairs(first, similarity, known=known)), "u", "v")
+    named = texts.join(roots, F.col("u") == F.col("node"), "left").select("fp", "w0", "w1", F.coalesce("root", "u").alias("root"))
+    member = fps.join(named, ["fp", "w0", "w1"]).select("row", "root")
+    stay = member.join(numbered.select(rank.alias("rank")), F.col("row") == F.col("rank.row")).groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(own))
+    return numbered.join(materialize(stay, "stay").hint("merge"), own, "left_semi").select(*docs.columns)
