@@ -19,8 +19,8 @@ RULES = (
     (BLOCK, "com/de/"),
 )
 DAMPING = 0.85
-ITERATIONS = 12
-CHECKPOINT_EVERY = 4
+#: Ranks are settled when a step moves this share of all mass or less, and reaches no further host.
+TOLERANCE = 1e-9
 
 
 def _lower(c: Column) -> Column:
@@ -64,29 +64,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(target).alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank) of walks over ``edges`` (src, dst, weight) that restart at ``seeds`` (host, seed), whose seed sums to one.
 
-    A host without outgoing edges restarts. One join and one aggregation a step;
-    every few steps the ranks are written, so the plan stays short.
+    A host without outgoing edges restarts. All restarts go to the seeds, so the
+    ranks are, up to one factor, the sum over k of the seeds' mass after k steps
+    along the edges, each step damped. One join and one aggregation a step, each
+    written; steps end when one moves nothing, or ``tolerance`` of all mass or
+    less and to no new host. That comes about: mass shrinks by ``damping`` a step
+    at least, and every host within reach has a shortest path.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    flow = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "flow")
+    flow = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")), "flow")
+    terms = seeds.select("host", F.col("seed").cast("double").alias("mass"))
     if flow.isEmpty():
-        return seeds.select("host", F.col("seed").alias("rank"))
-    sources = flow.select("src").distinct()
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for step in range(1, iterations + 1):
-        moved = ranks.join(flow, ranks["host"] == flow["src"]).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("mass"))
-        going = ranks.join(sources, ranks["host"] == sources["src"], "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("going"), F.lit(1).alias("one"))
-        back = seeds.join(F.broadcast(going), F.lit(1) == F.col("one")).select("host", (F.col("seed") * (1 - damping * F.col("going"))).alias("mass"))
-        ranks = moved.unionByName(back).groupBy("host").agg(F.sum("mass").alias("rank"))
-        if step % CHECKPOINT_EVERY == 0 or step == iterations:
-            ranks = materialize(ranks, "ranks")
-    return ranks
-
-
-def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = 0.0) -> DataFrame:
+        return terms.withColumnRenamed("mass", "rank")
+    term = terms = materialize(terms, "mass")
+    while True:
+        moved = term.join(flow, term["host"] == flow["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+        term = materialize(moved.groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
+        mass = term.agg(F.sum("mass")).first()[0]
+        if mass is None or (mass <= tolerance and term.join(terms, "host", "left_anti").isEmpty()):
+            break
+        terms = materialize(terms.union(term).groupBy("host").agg(F.sum("mass").alias("mass")), "reached")
+    total = terms.agg(F.sum("mass")).first()[0] or 1.0
+    return terms.select("host", (F.col("mass") / F.lit(total)).alias("rank"))
+
+
+def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = 0.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 
     The longest fitting rule decides. Elsewhere the host does: trust is the
@@ -110,7 +115,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damp
     ranks = {}
     for kind, graph in ((ALLOW, edges), (BLOCK, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))):
         seeds = by_host.where(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(float(totals[kind] or 1))).alias("seed"))
-        ranks[kind] = personalised_pagerank(graph, seeds, damping, iterations)
+        ranks[kind] = personalised_pagerank(graph, seeds, damping, tolerance)
     scores = ranks[ALLOW].select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(ranks[BLOCK].select("host", F.lit(0.0), "rank"))
     scores = materialize(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "scores")
     joined = parsed.join(scores, "host", "left")
