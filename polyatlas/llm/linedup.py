@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, row_key
+from .store import materialize, row_key, unused
 
 MIN_SITES = 10
 LG_K = 12
@@ -15,10 +15,10 @@ _BLANKS = " \t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line that holds a word: its hash (blanks around it aside), site and place."""
+    """One row for each line that holds a word: its 128-bit digest (blanks around it aside), site and place."""
     split = docs.select(row_key().alias("row_key"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
     split = split.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
-    return split.select("row_key", "doc_id", F.xxhash64("site").alias("site"), "at", F.xxhash64("line").alias("line"))
+    return split.select("row_key", "doc_id", F.xxhash64("site").alias("site"), "at", F.unhex(F.md5("line")).alias("line"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -48,15 +48,16 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     ``min_sites`` distinct values of ``source`` or more stays only where it
     first occurs: in the row of least doc_id, at its first place. Lines without
     a word stay. A null source is a site of its own, a null text stays null,
-    rows equal in doc_id and text are treated alike.
+    rows equal in doc_id and text are treated alike. Columns of any name are kept.
     """
     lines = materialize(_lines(docs), "lines")
     spread = materialize(spread_lines(lines, min_sites), "spread")
     hit = lines.join(spread, "line").where((F.col("row_key") != F.col("keep.row_key")) | (F.col("at") != F.col("keep.at")))
-    drops = hit.groupBy("row_key").agg(F.collect_set("at").alias("_drop")).withColumnRenamed("row_key", "_k")
+    row, key, drop = unused(docs.columns, "row", "key", "drop")
+    drops = hit.groupBy("row_key").agg(F.collect_set("at").alias(drop)).withColumnRenamed("row_key", key)
     # a merge join at every size: a broadcast of what was dropped would grow with the input
-    out = docs.withColumn("_row", row_key()).join(materialize(drops, "drops").hint("merge"), F.col("_row") == F.col("_k"), "left")
+    out = docs.withColumn(row, row_key()).join(materialize(drops, "drops").hint("merge"), F.col(row) == F.col(key), "left")
     pieces = F.split(F.col("text").cast("string"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_drop"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(drop))
     kept = F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "\n")
-    return out.select(*(F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return out.select(*(F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -97,20 +97,20 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = R
     duplicate cluster, else to a new bin. A bin's tokens never pass ``capacity``.
 
     Null source or cluster conflicts with nothing; null or non-positive sizes
-    take no room and get no row; ties go by doc_id, repeated rows are packed
-    each; extra columns are ignored.
+    take no room and get no row; ties go by doc_id, then source and cluster;
+    repeated rows are dealt apart and packed each; extra columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    items = items.select("doc_id", F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
+    items = items.select("doc_id", F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0").withColumn("nth", F.monotonically_increasing_id())
     shards = max(1, -(-items.count() // rows_per_shard))
     full = F.expr(f"(n_tokens - 1) div {capacity}")
-    last = items.select("doc_id", "source", "cluster", full.alias("piece"), (F.col("n_tokens") - full * capacity).alias("size"), F.pmod(F.xxhash64("doc_id", "source", "n_tokens"), F.lit(shards)).alias("shard"))
+    last = items.select("doc_id", "source", "cluster", full.alias("piece"), (F.col("n_tokens") - full * capacity).alias("size"), F.pmod(F.xxhash64("doc_id", "source", "n_tokens", "nth"), F.lit(shards)).alias("shard"))
     whole = items.where(F.col("n_tokens") > capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
     whole = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), (F.col("piece") * capacity).alias("offset"), F.concat_ws("-", F.lit("w"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("bin_id"), F.lit(0).cast("long").alias("start"))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        shard = shard.sort_values(["size", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable")
         names = shard["cluster"]
         twice = names[names.notna() & names.duplicated(keep=False)].unique()
         source = pd.factorize(shard["source"])[0]

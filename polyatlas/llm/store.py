@@ -12,9 +12,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset and all runs on one machine, else it raises."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="polyatlas-"))
     return path.rstrip("/")
 
@@ -27,8 +29,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key() -> "F.Column":
-    """A 64-bit key of a document row: equal only for rows of equal doc_id and text, so repeated ids stay apart."""
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    """A 128-bit key of a document row, equal for rows of equal doc_id and text, so repeated ids stay apart; null text counts as empty."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    mark = F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.length(name).cast("string"))
+    return F.unhex(F.md5(F.concat(mark, F.lit(":"), name, F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each of ``names``, with underscores added until no column of ``columns`` has the name in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

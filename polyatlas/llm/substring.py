@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .store import materialize, row_key
+from .store import materialize, row_key, unused
 
 WINDOW = 35
 #: A perfect difference set: every residue mod PERIOD is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 FILTER_BITS = 27
-#: Bits of a word's place in its text.
-_PLACE = 28
+#: Bits of a word's place in its text, and of the hash that tells texts of one key apart.
+_PLACE, _TELL = 28, 24
 _BYTES = 4 << 20
 
 
@@ -101,9 +101,9 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
         raise ValueError(f"window must be over {PERIOD} words")
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    # a short key shuffles cheaply; rows of one doc_id are told apart by 12 bits of their text's hash
+    # a short key shuffles cheaply; rows of one doc_id are told apart by 24 bits of their text's hash
     short = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(None).cast("long")
-    key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << 12))
+    key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << _TELL))
     base = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"))
     bitmap = spark.sparkContext.broadcast(_filter(base, filter_bits, window))
 
@@ -118,12 +118,12 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
             if len(first) > 1 and np.diff(first).max() >= 1 << _PLACE:
                 raise ValueError(f"a text of {1 << _PLACE} words or more")
             place = batch.column(2).to_numpy()[a + row] << _PLACE | (at[index] - first[row])
-            many = np.minimum(n, 2).astype(np.int64) << (_PLACE + 12)
+            many = np.minimum(n, 2).astype(np.int64) << (_PLACE + _TELL)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array((tag[index] >> np.uint64(49)).astype(np.int16)), pa.array(many | place), pa.array(batch.column(0).to_numpy()[a + row])], ["h", "tag", "v", "key"])
 
     counted = base.mapInArrow(single, "h long, tag short, v long, key long").groupBy("h", "tag")
-    once = counted.agg(F.try_sum("v").alias("v"), F.min("key").alias("key")).where(F.shiftright("v", _PLACE + 12) == 1)
-    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + 12)) - 1).alias("at")).groupBy("key").agg(F.collect_list("at").alias("once"))
+    once = counted.agg(F.try_sum("v").alias("v"), F.min("key").alias("key")).where(F.shiftright("v", _PLACE + _TELL) == 1)
+    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + _TELL)) - 1).alias("at")).groupBy("key").agg(F.collect_list("at").alias("once"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, d, _, s, e, first in _parts(batches):
@@ -152,13 +152,14 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     full = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"), "doc_id").join(once.hint("merge"), "key", "left").select("key", "text", "tell", "once", row_key().alias("row_key"), "doc_id")
-    return full.mapInArrow(cut, f"row_key long, doc_id {kind}, n_words long, n_removed long, kept string")
+    return full.mapInArrow(cut, f"row_key binary, doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` cut; texts that lose nothing stay as they are, other columns too."""
-    cut = repeated_windows_removed(docs, window).where("n_removed > 0").select(F.col("row_key").alias("_k"), F.col("kept").alias("_kept"))
-    cut = materialize(cut.dropDuplicates(["_k"]), "cut")
-    keyed = docs.withColumn("_row", row_key())
-    out = keyed.join(cut.hint("merge"), F.col("_row") == F.col("_k"), "left")
-    return out.select(*(F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    row, key, left = unused(docs.columns, "row", "key", "left")
+    cut = repeated_windows_removed(docs, window).where("n_removed > 0").select(F.col("row_key").alias(key), F.col("kept").alias(left))
+    cut = materialize(cut.dropDuplicates([key]), "cut")
+    keyed = docs.withColumn(row, row_key())
+    out = keyed.join(cut.hint("merge"), F.col(row) == F.col(key), "left")
+    return out.select(*(F.coalesce(left, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))

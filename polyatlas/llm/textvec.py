@@ -19,6 +19,8 @@ LOWER_ASCII[65:91] += 32
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_VALUES = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1) for _ in range(2)]
+#: The multiplier of each place of a range is drawn anew; powers of one base would hash some long patterns alike.
+_PLACES = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 _BASES = [np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)]
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 for _v in _BYTE_VALUES:
@@ -74,20 +76,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0, block: int = 1 << 20, gaps: bool = False) -> np.ndarray:
     """A 64-bit hash of each disjoint ascending byte range; white space counts as zero. gaps: other bytes than white space may stand between the ranges."""
-    out, values, base = np.zeros(len(start), dtype=np.uint64), _BYTE_VALUES[which], _BASES[which]
-    i, powers = 0, np.ones(1, dtype=np.uint64)
+    out, values = np.zeros(len(start), dtype=np.uint64), _BYTE_VALUES[which]
+    i, factors = 0, np.zeros(0, dtype=np.uint64)
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + block, side="right")))
         s, e = start[i:j] - start[i], end[i:j] - start[i]
         longest = int((e - s).max())
-        if len(powers) < longest:
-            powers = np.concatenate((np.ones(1, dtype=np.uint64), np.multiply.accumulate(np.full(longest - 1, base, dtype=np.uint64))))
+        if len(factors) < longest:
+            factors = mix((np.arange(longest, dtype=np.uint64) + np.uint64(1)) * _PLACES[which]) | np.uint64(1)
         place = np.arange(int(e[-1]), dtype=np.int64)
         held = np.diff(np.append(s, e[-1]))
         place -= np.repeat(s, held)
         outside = place >= np.repeat(e - s, held) if gaps else None
         np.minimum(place, longest - 1, out=place)
-        part = values[data[start[i] : start[i] + e[-1]]] * powers[place]
+        part = values[data[start[i] : start[i] + e[-1]]] * factors[place]
         if gaps:
             part[outside] = 0
         out[i:j] = np.add.reduceat(part, s)
