@@ -59,12 +59,22 @@ def test_trust_propagation(spark):
     got = {r["page_id"]: r for r in urlgraph.judge_pages(df).collect()}
     assert {k: r["verdict"] for k, r in got.items()} == {0: "allow", 1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow"}
     edges = [("good.org", "friend.net", 1), ("good.org", "x.net", 1), ("friend.net", "second.net", 1), ("liker.net", "bad.com", 1), ("bad.com", "x.net", 1)]
-    trust = _pagerank(edges, {"good.org": 1.0}, urlgraph.DAMPING, urlgraph.ITERATIONS)
-    distrust = _pagerank([(d, s, w) for s, d, w in edges], {"bad.com": 1.0}, urlgraph.DAMPING, urlgraph.ITERATIONS)
+    trust = _pagerank(edges, {"good.org": 1.0}, urlgraph.DAMPING, 200)
+    distrust = _pagerank([(d, s, w) for s, d, w in edges], {"bad.com": 1.0}, urlgraph.DAMPING, 200)
     for r in got.values():
         assert r["trust"] == pytest.approx(trust.get(r["host"], 0)) and r["distrust"] == pytest.approx(distrust.get(r["host"], 0))
 
 
+def test_trust_reaches_far_and_settles(spark):
+    """A chain longer than any fixed number of steps, and a cycle."""
+    edges = [(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(20)] + [("a", "b", 2), ("b", "a", 1), ("b", "c", 1)]
+    for seeds in ({"h00": 1.0}, {"a": 0.75, "c": 0.25}):
+        got = urlgraph.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame([*seeds.items()], "host string, seed double"), tolerance=1e-4).collect()
+        want = _pagerank(edges, seeds, urlgraph.DAMPING, 400)
+        assert {r["host"] for r in got} == {h for h, v in want.items() if v > 0}
+        assert {r["host"]: r["rank"] for r in got} == pytest.approx({h: v for h, v in want.items() if v > 0}, rel=1e-3)
+
+
 def _exact(x, ids, query, k=10):
     v = x[ids == query][0]
     d = np.sqrt(((x - v) ** 2).sum(axis=1))
@@ -90,11 +100,33 @@ def test_neighbours_recall(spark, sf_dir):
     assert hit >= 0.9 * 10 * out["query_id"].nunique()
 
 
+def test_neighbours_far_from_the_origin(spark):
+    """Recall under a common offset, and of a query id that is repeated."""
+    rng = np.random.default_rng(6)
+    x = 1e5 + rng.normal(size=(2000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = ann.usable(spark.createDataFrame(rows + rows[:300:100] * 4, "vec_id long, embedding array<double>"))
+    out = ann.search(ann.build_index(vectors, shard_vectors=700), vectors.where("vec_id % 100 = 0")).toPandas()
+    hit = 0
+    for query, own in out.groupby("query_id"):
+        assert sorted(own["rank"]) == list(range(1, 11)) and own["vec_id"].nunique() == 10
+        hit += len({v for v, _ in _exact(x, np.arange(2000), query)} & set(own["vec_id"]))
+    assert hit >= 0.9 * 200 and out["query_id"].nunique() == 20
+
+
+def test_neighbours_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [9.0, 0.0]), (1, [1.5, 0.0]), (2, [8.0, 0.0]), (2, [1.25, 0.0]), (3, [1e200, 0.0]), (4, [1.2e200, 5.0])]
+    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(ann.build_index(vectors), vectors.where("vec_id in (0, 3)")).orderBy("query_id", "rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(2, 0.25), (1, 0.5), (3, 1e200), (4, 1.2e200)]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 3] == [(4, pytest.approx(2e199)), (0, 1e200), (1, 1e200), (2, 1e200)]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 1500, 5)] + [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (6, [3.0, 4.0]), (7, [1.0]), (8, []), (9, [float("inf"), 0.0]), (100, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     vectors = ann.usable(df)
-    out = ann.search(ann.build_index(vectors), vectors.where("vec_id % 100 = 0").distinct()).collect()
+    out = ann.search(ann.build_index(vectors), vectors.where("vec_id % 100 = 0")).collect()
     assert {r["query_id"] for r in out} == set(range(0, 1500, 100))
     for query in range(0, 1500, 100):
         got = [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == query), key=lambda r: r["rank"])]
@@ -144,7 +176,7 @@ def test_pipeline(spark, sf_dir, documents, odd, none):
             assert docs.columns == documents.columns
     ids = lambda df: {r[0] for r in df.select("doc_id").distinct().collect()}
     judged = langid.identify(documents, langid.fit(documents), "doc_id")
-    assert ids(seen["language_id"]) == ids(judged.where("lang_pred <> 'und'"))
+    assert ids(seen["language_id"]) == ids(judged.where(f"lang_pred <> 'und' and noise < {langid.REJECT}"))
     assert ids(seen["line_dedup"]) == ids(seen["language_id"])
     from test_text_operators import components as brute
     from test_text_operators import cut_windows, fingerprint, similar
@@ -156,10 +188,31 @@ def test_pipeline(spark, sf_dir, documents, odd, none):
     want = {r["doc_id"]: (kept if gone else r["text"]) for r, (_, gone, kept) in zip(rows, cut_windows([r["text"] for r in rows]), strict=True)}
     assert {r["doc_id"]: r["text"] for r in seen["substring_dedup"].collect()} == want
     assert ids(seen["best_fit_packing"]) == ids(seen["near_dedup"])
-    for odd_docs in (odd.select(*documents.columns), none.select(*documents.columns)):
-        for name, stage in corpus_pipeline.STAGES:
-            odd_docs = stage(spark, odd_docs, sf_dir)
-            odd_docs.collect()
+    # the stages' own column names in other case, null, empty, letterless and repeated rows, one id for two texts
+    odd_docs, left = odd.withColumnsRenamed({"fp": "ROW", "row_key": "score"}), {}
+    for name, stage in corpus_pipeline.STAGES:
+        odd_docs = stage(spark, odd_docs, sf_dir)
+        left[name] = sorted((r["doc_id"] or -1) for r in odd_docs.collect())
+    assert left["language_id"] == [-1, 1, 2, 2, 2, 7, 8] == left["line_dedup"]
+    assert left["near_dedup"] == [-1, 1, 2, 7] == left["substring_dedup"] and set(left["best_fit_packing"]) == {-1, 1, 2, 7}
+    empty = none.select(*documents.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0
+
+
+def test_language_stage_rejects_noise_and_keeps_prose(spark, sf_dir, documents):
+    """What the network decides: made-up strings go, short, loud and mixed texts of the labelled languages stay."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    noise = [(10**6 + i, "".join(rng.choice(letters, int(n))), None) for i, n in enumerate(rng.integers(60, 900, 40))]
+    texts = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    mixed = [(2 * 10**6 + i, texts[i][1][:150] + " " + texts[-i - 1][1][:150], None) for i in range(40)]
+    loud = [(3 * 10**6 + i, texts[i][1][:200].upper(), None) for i in range(40)]
+    df = spark.createDataFrame(texts + noise + mixed + loud, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert len(kept & {d for d, _, _ in noise}) <= 1
+    assert len(kept & {d for d, _, _ in texts + mixed + loud}) >= 0.99 * len(texts + mixed + loud)
 
 
 def test_language_stage_keeps_unlabelled_texts(spark):

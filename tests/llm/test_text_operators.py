@@ -106,8 +106,8 @@ def test_similar_texts(spark):
             texts[10 * i + j] = " ".join(copy)
     df = spark.createDataFrame([*texts.items(), (1000, None), (1001, "")], "doc_id long, text string")
     want = components({d: fingerprint(t) for d, t in texts.items()}, similar(texts))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
-    assert got == want | {1000: 1000, 1001: 1000}
+    got = sorted(r["doc_id"] for r in simhash.near_deduplicate(df).collect())
+    assert got == sorted({*want.values(), 1000})
 
 
 def test_similar_texts_in_large_buckets(spark):
@@ -138,8 +138,22 @@ def test_similar_to_another_text_of_the_fingerprint(spark):
     fps = {d: fingerprint(t) for d, t in texts.items()}
     assert fps[1] == fps[2] and (fps[1] ^ fps[3]).bit_count() > 3 and similar(texts) == [(3, 2)]
     df = spark.createDataFrame([*texts.items(), (5, texts[2].upper())], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
-    assert got == components(fps, similar(texts)) | {5: 1} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    assert components(fps, similar(texts)) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert sorted(r["doc_id"] for r in simhash.near_deduplicate(df).collect()) == [1, 4]
+
+
+def test_near_dedup_knows_rows_by_more_than_their_id(spark):
+    """Different texts of one doc_id both stay; ids may be huge, null or text; columns of any name are kept."""
+    rows = [(2, "a plain text of one kind", "x"), (2, "something else altogether here", "y"), (2**62 + 5, "a third text of its own", "z"), (2**63 - 1, "a third text of its own", "z"), (None, "a plain text of one kind", "w"), (None, "without an id and alone", "v"), (9, "SOMETHING else altogether  here", "u"), (2, "a plain text of one kind", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_0 string")
+    kept = simhash.near_deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[2], rows[5]], key=repr)
+    named = simhash.near_duplicates(df).select("doc_id", "component_id").distinct().collect()
+    assert {(r["doc_id"], r["component_id"]) for r in named} == {(2, 2), (2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5), (None, 2), (None, None), (9, 2)}
+    text_ids = df.selectExpr("concat('d', doc_id) as doc_id", "text", "row_0")
+    assert simhash.near_deduplicate(text_ids).count() == 4
+    assert {r["component_id"] for r in simhash.near_duplicates(text_ids).collect()} == {"d2", f"d{2**62 + 5}", None}
 
 
 def test_simhash_odd_rows(odd, none):
@@ -148,7 +162,9 @@ def test_simhash_odd_rows(odd, none):
     zero = {g for g in got if g[0] in (3, 4, 5)}
     assert zero == {(d, "0" * 16, 3) for d in (3, 4, 5)}
     assert all(c == 1 for d, f, c in got if d == 1) and all(c == 7 for d, f, c in got if d in (7, 8))
-    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 == simhash.near_deduplicate(none).count()
+    kept = simhash.near_deduplicate(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 3, 6, 7]
 
 
 def test_substring_against_brute_force(documents):
@@ -326,6 +342,9 @@ def test_hashes():
     assert len(set(h.tolist())) == 6
     alone = textvec.span_hashes(np.frombuffer(b"a", dtype=np.uint8), np.array([0]), np.array([1]))
     assert alone[0] == h[0]  # whatever else is hashed beside it
+    swap = np.array([bin(i).count("1") % 2 for i in range(2048)], dtype=np.uint8)
+    long = np.concatenate((97 + swap, 98 - swap))  # powers of one base would hash these two alike
+    assert len(set(textvec.span_hashes(long, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
     for width in (1, 2, 3, 5):
         w = textvec.windows(np.concatenate((h, h)), width)
         assert len(w) == 13 - width and (w[: 7 - width] == w[6 : 13 - width]).all()
