@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyatlas.llm import langid, linedup, packing, simhash, substring
-from polyatlas.llm.store import materialize, row_key, table
+from polyatlas.llm.store import materialize, table, unused
 
-#: Near copies are texts of this Jaccard similarity of five-word shingles, or of fingerprints within three bits.
-SIMILARITY = 0.8
+#: Columns that the judgement of languages adds.
+RESULTS = ("lang_pred", "score", "noise")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -18,12 +18,18 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; null and letterless texts go. A doubtful score is no reason: mixed and short texts are clean too."""
+    """Documents in a language: null and letterless texts go, and those that the network takes for noise with ``langid.REJECT`` or more.
+
+    A doubtful choice between languages is no reason: mixed and short texts are
+    clean too. Without any label there is no network, and lettered texts stay.
+    """
     model = langid.fit(docs)
-    if model is None:  # no row has a label to learn from, which is no reason against any text
+    renamed = docs.withColumnsRenamed(dict(zip(RESULTS, unused(docs.columns, *RESULTS), strict=True)))
+    if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    judged = langid.identify(docs, model, *docs.columns)
-    return judged.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    judged = langid.identify(renamed, model, *renamed.columns)
+    kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("noise") < langid.REJECT))
+    return kept.select(*(F.col(own).alias(c) for own, c in zip(renamed.columns, docs.columns, strict=True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group of near copies; rows without doc_id stay."""
-    groups = materialize(simhash.near_duplicates(docs, similarity=SIMILARITY), "groups")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(row_key()))
-    return stay.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document, that of least doc_id, of each group of near copies."""
+    return simhash.near_deduplicate(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
