@@ -257,22 +257,155 @@ def test_language_model(spark, documents, odd, none):
     counts = Counter(w for r in rows if not r["held_out"] for w in words[r["doc_id"]])
     n, v = sum(counts.values()), len(counts)
     scores = {}
-    for head in (1 << 18, 300):  # all types in memory, then most of them joined
-        hpylm.HEAD_TYPES = head
-        model, vocabulary = hpylm.fit(docs.where("not held_out"))
+    for heads in ((1 << 18, 1 << 20), (300, 50)):  # all types and pairs in memory, then most of them joined
+        hpylm.HEAD_TYPES, hpylm.HEAD_PAIRS = heads
+        model, vocabulary = hpylm.fit(docs.where("not held_out"), context_share=1 / 200)
         got = hpylm.score(docs, model, vocabulary, "doc_id", "held_out").collect()
         for r in got:
             w = words[r["doc_id"]]
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in counts for x in w), n)
             assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        scores[head] = {r["doc_id"]: r["score"] for r in got}
+            assert r["open_score"] <= r["score"] + 1e-6 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(w)))
+        scores[heads] = {r["doc_id"]: r["score"] for r in got}
         held = [r for r in got if r["held_out"]]
-        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    hpylm.HEAD_TYPES = 1 << 18
-    assert scores[300] == pytest.approx(scores[1 << 18], rel=1e-4)
+        assert sum(r["score"] for r in held) > 0.985 * sum(r["base_score"] for r in held)
+    hpylm.HEAD_TYPES, hpylm.HEAD_PAIRS = 1 << 18, 1 << 20
+    joined, in_memory = scores.values()
+    assert joined == pytest.approx(in_memory, rel=1e-5)
     model, vocabulary = hpylm.fit(odd)
-    assert hpylm.score(odd, model, vocabulary, "doc_id").count() == odd.count()
+    scored = hpylm.score(odd.withColumnRenamed("fp", "h"), model, vocabulary, "doc_id", "h")
+    assert scored.count() == odd.count() and scored.columns[:2] == ["doc_id", "h"]
     assert hpylm.score(none, model, vocabulary, "doc_id").count() == 0
+    model, vocabulary = hpylm.fit(none)
+    assert hpylm.score(odd, model, vocabulary, "doc_id").where("n_known = 0 and train_tokens = 0 and abs(score) < 1e-6 and open_score < 0").count() == odd.count()
+
+
+def _probability(model, vocabulary, word, context):
+    """Of a word after a context word, from the written table, by the definition."""
+    h = {w: int(hpylm.hash_words(__import__("pyarrow").array([w]))[0][0]) for w in (word, context)}
+    c = int(model.context_of(np.array([h[context]], dtype=np.uint64))[0])
+    row = next((r for r in vocabulary if r["h"] == np.uint64(h[word]).astype(np.int64)), None)
+    spell = model.spell(np.frombuffer(f"{word}\n".encode(), dtype=np.uint8), np.array([0, len(word.encode()) + 1]))[0]
+    shared = model.shared_probability(row["customers"] if row else 0, row["tables"] if row else 0, 10**spell) if row else model.rest * model.new_mass
+    own = 0.0
+    if row and c in row["contexts"]:
+        i = row["contexts"].index(c)
+        own = max(0.0, row["ns"][i] - model.context_discount * row["ts"][i]) / (model.customers[c] + hpylm.STRENGTH)
+    return own + model.back[c] * shared
+
+
+def test_language_model_follows_the_order_of_words(spark):
+    """Words that follow one another in training score higher in that order, and each score is that of the definition."""
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(12)]
+    texts = []
+    for _ in range(300):
+        at, words = 0, []
+        for _ in range(30):
+            at = (at + 1) % 12 if rng.random() < 0.8 else int(rng.integers(0, 12))
+            words.append(names[at])
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model, vocabulary = hpylm.fit(df)
+    rows = vocabulary.collect()
+    order = " ".join(names)
+    tests = [order, " ".join(reversed(names)), f"{order} unseen {order}"]
+    scored = {r["doc_id"]: r["score"] for r in hpylm.score(spark.createDataFrame(list(enumerate(tests)), "doc_id int, text string"), model, vocabulary, "doc_id").collect()}
+    assert scored[0] > scored[1] + 6
+    for i, text in enumerate(tests):
+        words = [*text.split(), ""]
+        want = sum(math.log10(_probability(model, rows, w, c)) for w, c in zip(words, ["", *words], strict=False))
+        assert scored[i] == pytest.approx(want, rel=1e-5)
+    # after any word, the probabilities of all known words, and of the rest as one event, sum to one
+    for context in ("w3", "unseen", ""):
+        known = sum(_probability(model, rows, w, context) for w in [*names, ""])
+        assert known + _probability(model, rows, "unseen", context) == pytest.approx(1, rel=1e-5)
+
+
+def _plain_tables(counts, spelling, d2, d1, sweeps, seed):
+    """Mean (tables of each pair, of each word in the shared restaurant) by taking out and seating again one customer at a time."""
+    rng = np.random.default_rng(seed)
+    top, low = {}, {}
+
+    def shared(w):
+        total, tables = sum(sum(x) for x in low.values()), sum(map(len, low.values()))
+        own = low.get(w, [])
+        return (sum(own) - d1 * len(own) + (1 + d1 * tables) * spelling[w]) / (total + 1)
+
+    def sit(tables, d, new):
+        p = np.array([x - d for x in tables] + [new])
+        at = int(rng.choice(len(p), p=p / p.sum()))
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(tables):
+        at = int(rng.choice(len(tables), p=np.array(tables) / sum(tables)))
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    def add(c, w):
+        tables = sum(len(t) for (x, _), t in top.items() if x == c)
+        if sit(top.setdefault((c, w), []), d2, (1 + d2 * tables) * shared(w)):
+            sit(low.setdefault(w, []), d1, (1 + d1 * sum(map(len, low.values()))) * spelling[w])
+
+    customers = [p for p, n in counts.items() for _ in range(n)]
+    for p in customers:
+        add(*p)
+    pairs, words = {p: 0.0 for p in counts}, {w: 0.0 for _, w in counts}
+    for sweep in range(sweeps):
+        for c, w in customers:
+            if leave(top[c, w]):
+                leave(low[w])
+            add(c, w)
+        if sweep >= sweeps // 5:
+            for p in pairs:
+                pairs[p] += len(top[p]) / (sweeps - sweeps // 5)
+            for w in words:
+                words[w] += len(low[w]) / (sweeps - sweeps // 5)
+    return pairs, words
+
+
+def test_seating_against_a_plain_sampler():
+    rng = np.random.default_rng(5)
+    counts = {(c, w): int(rng.integers(1, 12)) for c in range(3) for w in range(5) if rng.random() < 0.8}
+    spelling = {w: p for w, p in enumerate((0.3, 0.1, 0.05, 0.01, 0.001))}
+    pairs, words = _plain_tables(counts, spelling, 0.6, 0.7, 1500, 1)
+    keys = sorted(counts, key=lambda p: (p[1], p[0]))
+    row, context, n = (np.array(x) for x in zip(*((w, c, counts[c, w]) for c, w in keys), strict=True))
+    none = np.zeros(0)
+    tables = np.bincount(context, minlength=3).astype(float)
+    model = hpylm.Model(none, none, none, 0, 0, 0.7, 0.6, none, np.bincount(context, n), tables, tables.sum(), 5.0)
+    for _ in range(12):  # the totals of the restaurants follow the sweeps, as they do between rounds
+        t, c1, t1 = hpylm.seat_words(rng, row, context, n, np.array(list(spelling.values())), model, 5, 200)
+        model.tables, model.shared_customers, model.shared_tables = np.bincount(context, t, minlength=3), c1.sum(), t1.sum()
+    assert t.sum() == pytest.approx(sum(pairs.values()), rel=0.05) and t1.sum() == pytest.approx(sum(words.values()), rel=0.08)
+    assert t == pytest.approx([pairs[p] for p in keys], rel=0.2) and t1 == pytest.approx([words[w] for w in range(5)], rel=0.2)
+
+
+def _exact_tables(n, prior, others, d):
+    """The mean number of tables of one dish by its weights, the Stirling numbers by their recursion."""
+    stirling = np.full(n + 1, -np.inf)
+    stirling[1] = 0.0
+    t = np.arange(n + 1)
+    for m in range(1, n):
+        with np.errstate(divide="ignore"):
+            stirling = np.logaddexp(stirling + np.log(np.maximum(m - d * t, 0)), np.concatenate(([-np.inf], stirling[:-1])))
+    weight = stirling + np.concatenate(([0.0], np.cumsum(np.log((1 + d * (others + t[:-1])) * prior))))
+    p = np.exp(weight - weight.max())
+    return (p * t).sum() / p.sum()
+
+
+@pytest.mark.parametrize("n", [2, 7, 40, 512, 3000])
+def test_reseating_draws_the_conditional(n):
+    rng, d = np.random.default_rng(7), 0.5
+    for prior, others in ((0.02, 30.0), (0.3, 2.0), (1e-6, 1000.0)):
+        got = hpylm.reseat(rng, np.full(3000, n), np.full(3000, prior), np.full(3000, others), d, 1.0).mean()
+        assert got == pytest.approx(_exact_tables(n, prior, others, d), rel=0.04)
 
 
 def test_predictive_probabilities_sum_to_one():
