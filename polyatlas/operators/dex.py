@@ -36,26 +36,52 @@ def pseudobulk(values: DataFrame, cells: DataFrame, geometric: bool = True) -> D
 def rank_sums(values: DataFrame, cells: DataFrame, control) -> DataFrame:
     """(target, feature, u, tie, n_a, n_b): U of each target against the control, ties averaged, zeros one block at the bottom.
 
-    Only counts of (group, feature, value) are shuffled; the zeros of both sides
-    are counted from the group sizes. The control's counts join each target's.
+    One row for each target and each feature with a positive value in any group.
+    U counts, for each cell of the target, the control's cells below it, and half
+    of those equal to it. Counts of (feature, value) run once along each feature
+    for the control and serve all targets, so the control is shuffled once
+    however many targets there are; zeros are counted from the group sizes.
     """
-    counts = values.where("x > 0").join(cells, "uid").groupBy("grp", "feature", "x").agg(F.count("*").alias("c"))
+    counts = values.where("x > 0").join(cells, "uid").groupBy("feature", "grp", "x").agg(F.count("*").alias("c"))
     sizes = group_sizes(cells)
-    own = counts.where(F.col("grp") != F.lit(control))
-    ref = counts.where(F.col("grp") == F.lit(control))
-    targets = sizes.where(F.col("grp") != F.lit(control)).select(F.col("grp").alias("target"), F.col("n").alias("n_a"))
-    n_b = sizes.where(F.col("grp") == F.lit(control)).select(F.col("n").alias("n_b"))
-    both = targets.join(F.broadcast(n_b), F.lit(True))
-    spread = ref.join(F.broadcast(targets.select("target")), F.lit(True)).select("target", "feature", "x", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
-    rows = own.select(F.col("grp").alias("target"), "feature", "x", F.col("c").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spread)
-    rows = rows.groupBy("target", "feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    zeros = rows.groupBy("target", "feature").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).join(F.broadcast(both), "target")
-    zeros = zeros.select("target", "feature", F.lit(0.0).cast("float").alias("x"), (F.col("n_a") - F.col("sa")).alias("a"), (F.col("n_b") - F.col("sb")).alias("b"))
-    full = rows.unionByName(zeros).withColumn("c", F.col("a") + F.col("b"))
-    order = Window.partitionBy("target", "feature").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.sum("c").over(order) - F.col("c") + (F.col("c") + 1) / 2
-    ranked = full.select("target", "feature", "a", "c", rank.alias("rank")).groupBy("target", "feature").agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("tie"))
-    return ranked.join(F.broadcast(both), "target").select("target", "feature", (F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"), "tie", "n_a", "n_b")
+    is_control = F.col("grp") == F.lit(control)
+    targets = sizes.where(~is_control).select(F.col("grp").alias("target"), F.col("n").alias("n_a"))
+    n_b = sizes.where(is_control).select(F.col("n").alias("n_b"))
+    b = F.when(is_control, F.col("c")).otherwise(0)
+    cube = lambda c: F.pow(c.cast("double"), F.lit(3.0)) - c
+    upto = F.sum(b).over(Window.partitionBy("feature").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum(b).over(Window.partitionBy("feature", "x"))
+    ranked = counts.select("feature", "grp", "x", "c", equal.alias("equal"), upto.alias("upto"))
+    ref = ranked.where(is_control).groupBy("feature").agg(F.sum("c").alias("sb"), F.sum(cube(F.col("c"))).alias("tie_b"))
+    above = F.sum(F.col("c") * (F.col("upto") - F.col("equal") / 2))
+    own = ranked.where(~is_control).groupBy(F.col("grp").alias("target"), "feature").agg(F.sum("c").alias("sa"), above.alias("above"), F.sum(cube(F.col("c") + F.col("equal")) - cube(F.col("equal"))).alias("tie_a"))
+    grid = counts.select("feature").distinct().join(F.broadcast(targets), F.lit(True)).join(F.broadcast(n_b), F.lit(True))
+    full = grid.join(own, ["target", "feature"], "left").join(ref, "feature", "left").fillna(0, ["sa", "above", "tie_a", "sb", "tie_b"])
+    a0, b0 = F.col("n_a") - F.col("sa"), F.col("n_b") - F.col("sb")
+    u = F.col("above") + F.col("sa") * b0 + a0 * b0 / 2
+    return full.select("target", "feature", u.cast("double").alias("u"), (F.col("tie_a") + F.col("tie_b") + cube(a0 + b0)).alias("tie"), "n_a", "n_b")
+
+
+def rank_sums_dense(values: DataFrame, cells: DataFrame, control) -> DataFrame:
+    """``rank_sums`` of a dense table (uid, values array<number>): every stored value takes part, negative ones too, and null counts as zero.
+
+    The features are the places in the arrays; arrays of unequal length, or none
+    at all, raise.
+    """
+    lengths = values.agg(F.count_distinct(F.size("values")).alias("n"), F.coalesce(F.max(F.size("values")), F.lit(0)).alias("most")).first()
+    if lengths["n"] != 1 or lengths["most"] < 1:
+        raise ValueError("dense values must be arrays of one length, at least 1")
+    flat = values.select("uid", F.posexplode("values").alias("feature", "x")).select("uid", "feature", F.coalesce("x", F.lit(0)).cast("double").alias("x"))
+    counts = flat.join(cells, "uid").groupBy("feature", "grp", "x").agg(F.count("*").alias("c"))
+    is_control = F.col("grp") == F.lit(control)
+    b = F.when(is_control, F.col("c")).otherwise(0)
+    cube = lambda c: F.pow(c.cast("double"), F.lit(3.0)) - c
+    upto = F.sum(b).over(Window.partitionBy("feature").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum(b).over(Window.partitionBy("feature", "x"))
+    ranked = counts.select("feature", "grp", "x", "c", equal.alias("equal"), upto.alias("upto"))
+    ref = ranked.where(is_control).groupBy("feature").agg(F.sum("c").alias("n_b"), F.sum(cube(F.col("c"))).alias("tie_b"))
+    own = ranked.where(~is_control).groupBy(F.col("grp").alias("target"), "feature").agg(F.sum("c").alias("n_a"), F.sum(F.col("c") * (F.col("upto") - F.col("equal") / 2)).alias("u"), F.sum(cube(F.col("c") + F.col("equal")) - cube(F.col("equal"))).alias("tie_a"))
+    return own.join(ref, "feature").select("target", "feature", F.col("u").cast("double").alias("u"), (F.col("tie_a") + F.col("tie_b")).alias("tie"), "n_a", "n_b")
 
 
 def mann_whitney(ranks: DataFrame, alternative: str = "two-sided", continuity: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyatlas.operators.order import places
+
 BIN = 1 << 14
 BLOCK = 128
 # Order of the named chromosomes, after the numbered ones.
@@ -25,20 +27,21 @@ def chromosome_order(fragments: DataFrame) -> DataFrame:
     return order.select("chrom", F.when(F.col("rank") < MAX_CHROMOSOMES, F.col("rank")).otherwise(F.raise_error(F.lit("more than 256 chromosomes")).cast("int")).alias("rank"))
 
 
-def overlap_join(fragments: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
+def overlap_join(fragments: DataFrame, ranges: DataFrame, width: int = BIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of ``fragments`` (chrom, start, length, ...) and ``ranges`` (range_id, chrom, start, end) that overlap.
 
     Both sides are dealt to the bins they touch and joined on (chrom, bin); a
-    pair counts only in the first bin it shares, so none comes twice.
+    pair counts only in the first bin it shares, so none comes twice. ``keep``
+    are further columns of the ranges to return.
     """
     f = fragments.withColumn("_end", F.col("start") + F.col("length")).where("length > 0")
     f = f.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("_end") - 1) / width))))
-    r = ranges.where("end > start").select("range_id", F.col("chrom").alias("_chrom"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
+    r = ranges.where("end > start").select("range_id", *keep, F.col("chrom").alias("_chrom"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
     r = r.withColumn("_rbin", F.explode(F.sequence(F.floor(F.col("_rs") / width), F.floor((F.col("_re") - 1) / width))))
     pairs = f.join(r, (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin")))
     first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("_rs") / width))
     hit = pairs.where((F.col("start") < F.col("_re")) & (F.col("_end") > F.col("_rs")) & (F.col("_bin") == first))
-    return hit.select(*fragments.columns, "range_id", F.col("_rs").alias("range_start"), F.col("_re").alias("range_end"))
+    return hit.select(*fragments.columns, "range_id", F.col("_rs").alias("range_start"), F.col("_re").alias("range_end"), *keep)
 
 
 def query_region(fragments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -56,6 +59,75 @@ def peak_set(ranges: DataFrame) -> DataFrame:
     return out.select((F.col("_before") + F.col("_i")).alias("range_id"), "chrom", "start", "end", "name")
 
 
+def n_ranges(ranges: DataFrame) -> int:
+    """How many ranges there are, those on unknown chromosomes too."""
+    return ranges.count()
+
+
+def count_matrix(fragments: DataFrame, ranges: DataFrame, cells: DataFrame | None = None, width: int = BIN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(obs, var, x): (cell, n_fragments), (range_id, chrom, start, end, name, n_cells), and counts (cell, range_id, n).
+
+    obs has every cell of ``cells`` (cell), or of the fragments, and var every
+    range of ``peak_set(ranges)``, those that no fragment touches and those on
+    chromosomes without fragments too: they are rows of zeros and zero columns.
+    """
+    peaks = peak_set(ranges)
+    x = count_fragments(fragments, peaks, width)
+    everyone = (fragments if cells is None else cells).select("cell").distinct()
+    obs = everyone.join(fragments_per(fragments, "cell"), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n_fragments"))
+    x = x if cells is None else x.join(everyone, "cell", "left_semi")
+    var = peaks.join(x.groupBy("range_id").agg(F.count("*").alias("n_cells")), "range_id", "left").fillna(0, ["n_cells"])
+    return obs, var.select("range_id", "chrom", "start", "end", "name", "n_cells"), x
+
+
+def joint_chromosomes(layouts: DataFrame) -> DataFrame:
+    """(chrom, global_chrom): the union of the chromosomes of groups (grp, chrom), numbered from 0 in order of name."""
+    return layouts.select("chrom").where("chrom is not null").distinct().select("chrom", (F.row_number().over(Window.orderBy("chrom")) - 1).alias("global_chrom"))
+
+
+def joint_fragments(fragments: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fragments, offsets, chromosomes) of ``cells`` (cell): fragments with their joint chromosome number, where each cell's begin and end in that order, and the numbers.
+
+    Cells without fragments have an empty range. Numbers are of the chromosomes
+    that the chosen cells' fragments lie on, in order of name.
+    """
+    from polyatlas.operators.matrix import offsets
+
+    own = fragments.join(cells.select("cell").distinct(), "cell", "left_semi")
+    names = joint_chromosomes(own)
+    counts = cells.select("cell").distinct().join(fragments_per(own, "cell"), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return own.join(names, "chrom"), offsets(counts, "cell", "n"), names
+
+
+class GenomeSorted:
+    """Fragments ordered for region queries: written once in genome order, read by region."""
+
+    def __init__(self, fragments: DataFrame):
+        self.fragments = fragments
+
+    @classmethod
+    def write(cls, fragments: DataFrame, path: str) -> "GenomeSorted":
+        genome_sorted(fragments).write.mode("errorifexists").parquet(path)
+        return cls.open(fragments.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark, path: str) -> "GenomeSorted":
+        return cls(spark.read.parquet(path))
+
+    @property
+    def chrom_names(self) -> list[str]:
+        """At most MAX_CHROMOSOMES names, in order."""
+        return [r["chrom"] for r in chromosome_order(self.fragments).orderBy("rank").collect()]
+
+    @property
+    def n_fragments(self) -> int:
+        return self.fragments.count()
+
+    def query_region(self, chrom: str, start: int, end: int) -> DataFrame:
+        """Fragments that overlap the region; files and row groups of other places are skipped by their bounds. An unknown chromosome gives none."""
+        return query_region(self.fragments, chrom, start, end)
+
+
 def count_fragments(fragments: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
     """(cell, range_id, n): how many fragments of each cell overlap each range; pairs of none have no row."""
     return overlap_join(fragments, ranges, width).groupBy("cell", "range_id").agg(F.count("*").cast("int").alias("n"))
@@ -79,10 +151,13 @@ def genome_sorted(fragments: DataFrame) -> DataFrame:
 def end_max(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
     """(chrom, block, end_max): the greatest end of each run of ``block`` fragments of a chromosome in order of start.
 
-    Blocks start anew with each chromosome, so one never spans two of them.
+    Blocks start anew with each chromosome, so one never spans two of them. Only
+    a row for each chromosome is sent to all tasks; places come from ranges.
     """
-    order = Window.partitionBy("chrom").orderBy("start", "length", "cell")
-    at = fragments.withColumn("block", F.floor((F.row_number().over(order) - 1) / block))
+    sizes = fragments_per(fragments, "chrom")
+    first = sizes.select("chrom", (F.sum("n").over(Window.orderBy("chrom")) - F.col("n")).alias("_first"))
+    placed = places(fragments.where("chrom is not null"), ["chrom", "start", "length", "cell"], "_place").join(F.broadcast(first), "chrom")
+    at = placed.withColumn("block", F.floor((F.col("_place") - F.col("_first")) / block))
     return at.groupBy("chrom", "block").agg(F.max(F.col("start") + F.col("length")).alias("end_max"))
 
 
@@ -106,12 +181,16 @@ def annotate_coordinates(coords: DataFrame, genes: DataFrame, features: DataFram
     untranslated exon by strand, intron, promoter, other; no gene: intergenic.
     """
     c = coords.select("id", F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.floor((F.col("start") + F.col("end")) / 2).alias("mid"))
-    hit = c.join(genes, (F.col("_c") == F.col("chrom")) & (F.col("start") <= F.col("_e")) & (F.col("end") >= F.col("_s")))
+    closed = lambda df, names: df.select(F.lit(0).alias("range_id"), "chrom", "start", (F.col("end") + 1).alias("end"), F.col("start").alias("from"), F.col("end").alias("to"), *names)
+    whole = c.select("id", "mid", F.col("_c").alias("chrom"), F.col("_s").alias("start"), (F.col("_e") - F.col("_s") + 1).alias("length"))
+    hit = overlap_join(whole, closed(genes, ("gene", "strand")), keep=("gene", "strand", "from", "to")).select("id", "mid", "gene", "strand", F.col("from").alias("start"), F.col("to").alias("end"))
     tss = _tss(F.col("strand"), F.col("start"), F.col("end"))
     near = F.min(F.struct(F.abs(F.col("mid") - tss).alias("d"), F.col("gene"), tss.alias("tss"), F.col("strand"))).alias("best")
     best = hit.groupBy("id", "mid").agg(near, F.array_sort(F.collect_set("gene")).alias("genes"))
     cds = features.where("feature_type = 'cds'").groupBy("transcript").agg(F.min("start").alias("cds_min"))
-    inside = c.join(features, (F.col("_c") == F.col("chrom")) & F.col("mid").between(F.col("start"), F.col("end"))).join(cds, "transcript", "left")
+    middle = c.select("id", "mid", F.col("_c").alias("chrom"), F.col("mid").alias("start"), F.lit(1).alias("length"))
+    names = ("feature_type", "transcript", "strand")
+    inside = overlap_join(middle, closed(features, names), keep=names).select("id", "mid", *names).join(cds, "transcript", "left")
     five = (F.col("strand") == "-") != (F.col("mid") < F.col("cds_min"))
     utr = F.when(F.col("cds_min").isNull(), "other").when(five, "5_UTR").otherwise("3_UTR")
     what = F.when(F.col("feature_type") == "cds", F.struct(F.lit(0).alias("k"), F.lit("exon").alias("v"))).when(F.col("feature_type") == "exon", F.struct(F.lit(1).alias("k"), utr.alias("v"))).when(F.col("feature_type") == "transcript", F.struct(F.lit(2).alias("k"), F.lit("intron").alias("v")))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyatlas.operators.order import places, running_sum
+
 UNION, INTERSECTION = "union", "intersection"
 
 
@@ -34,21 +36,15 @@ def layout_errors(layout: DataFrame, registry: DataFrame) -> DataFrame:
 def reindex(registry: DataFrame) -> DataFrame:
     """``registry`` in which features without a global index get the next ones, in order of uid; given ones never change.
 
-    Ids are running counts within blocks of uids, shifted by the blocks' totals,
+    Ids are places in ranges of uids, shifted by the totals of the ranges before,
     so no task numbers all features.
     """
-    fresh = registry.where("global_index is null").select("uid", F.lit(1).alias("one"))
+    fresh = registry.where("global_index is null").select("uid")
     top = registry.agg((F.coalesce(F.max("global_index"), F.lit(-1)) + 1).alias("base"))
-    ids = offsets(fresh, "uid", "one", _prefix_block(registry)).join(F.broadcast(top), F.lit(True)).select("uid", (F.col("base") + F.col("begin")).alias("fresh"))
+    ids = places(fresh, ["uid"], "place").join(F.broadcast(top), F.lit(True)).select("uid", (F.col("base") + F.col("place")).alias("fresh"))
     return registry.join(ids, "uid", "left").withColumn("global_index", F.coalesce("global_index", "fresh").cast("long")).select(*registry.columns)
 
 
-def _prefix_block(registry: DataFrame) -> Column:
-    """An order-preserving block of a uid: its first characters, or a number without its last digits."""
-    numeric = registry.schema["uid"].dataType.simpleString() in ("int", "bigint", "smallint")
-    return F.floor(F.col("uid") / 65536) if numeric else F.substring(F.col("uid"), 1, 3)
-
-
 def sync_layout(layout: DataFrame, registry: DataFrame) -> DataFrame:
     """``layout`` whose missing global indexes are filled from the registry."""
     known = registry.where("global_index is not null").select(F.col("uid").alias("feature_uid"), F.col("global_index").alias("_g"))
@@ -99,16 +95,20 @@ def csc_order(values: DataFrame) -> DataFrame:
 def reconstruct_dense(values: DataFrame, cells: DataFrame, layout: DataFrame, features: DataFrame, layer: str) -> DataFrame:
     """(uid, values array<float>) over ``features`` in order of global index, zero where a cell's group lacks one.
 
-    ``values`` has an array for each cell (uid, grp, layer). Positions are
-    scattered by the layout; each cell's row is gathered by itself.
+    ``values`` has an array for each cell (uid, grp, layer). Each group's layout
+    becomes one list of places to gather, joined by group, and each cell's array
+    is gathered in its row: values are neither exploded nor shuffled by feature.
+    Places outside an array, and null entries, give zero.
     """
-    own = values.join(cells.select("uid", "grp"), ["uid", "grp"], "left_semi").select("uid", "grp", F.posexplode(layer).alias("local_index", "v"))
-    wanted = layout.join(features, "global_index", "left_semi").select("grp", "local_index", "global_index")
-    cell_rows = own.join(wanted, ["grp", "local_index"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("global_index", "v"))).alias("m"))
     order = features.agg(F.array_sort(F.collect_set("global_index")).alias("g"))
-    everyone = values.join(cells.select("uid", "grp"), ["uid", "grp"], "left_semi").select("uid")
-    full = everyone.join(cell_rows, "uid", "left").join(F.broadcast(order), F.lit(True))
-    return full.select("uid", F.transform("g", lambda g: F.coalesce(F.element_at("m", g), F.lit(0.0)).cast("float")).alias("values"))
+    wanted = layout.join(features, "global_index", "left_semi").groupBy("grp").agg(F.map_from_entries(F.collect_set(F.struct("global_index", "local_index"))).alias("m"))
+    gather = wanted.join(order, F.lit(True)).select("grp", F.transform("g", lambda g: F.coalesce(F.element_at("m", g), F.lit(-1)).cast("int")).alias("at"))
+    own = values.join(cells.select("uid", "grp"), ["uid", "grp"], "left_semi").select("uid", "grp", F.col(layer).alias("v"))
+    zero = F.lit(0.0).cast("float")
+    full = own.join(gather, "grp", "left").join(order, F.lit(True))
+    # where a group has none of the features its cells are all zero
+    none = F.transform("g", lambda g: zero)
+    return full.select("uid", F.coalesce(F.transform("at", lambda i: F.coalesce(F.when(i >= 0, F.get("v", i)).cast("float"), zero)), none).alias("values"))
 
 
 def values_per_cell(values: DataFrame, layer: str) -> DataFrame:
@@ -116,15 +116,10 @@ def values_per_cell(values: DataFrame, layer: str) -> DataFrame:
     return values.groupBy("uid").agg(F.count_if(F.col(layer) != 0).alias("nnz"))
 
 
-def offsets(counts: DataFrame, key: str, count: str, block: Column | None = None) -> DataFrame:
-    """``counts`` with (begin, end) of each key in order: running sums, first within blocks of keys, then over the blocks."""
-    block = block if block is not None else F.substring(F.col(key).cast("string"), 1, 1)
-    inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = counts.withColumn("_block", block)
-    total = part.groupBy("_block").agg(F.sum(count).alias("_n"), F.min(key).alias("_first"))
-    shift = total.select("_block", (F.sum("_n").over(Window.orderBy("_first")) - F.col("_n")).alias("_before"))
-    done = part.withColumn("_end", F.sum(count).over(inside)).join(F.broadcast(shift), "_block")
-    return done.select(*counts.columns, (F.col("_before") + F.col("_end") - F.col(count)).alias("begin"), (F.col("_before") + F.col("_end")).alias("end"))
+def offsets(counts: DataFrame, key: str, count: str) -> DataFrame:
+    """``counts`` with (begin, end) of each key in order: running sums within ranges of keys, shifted by the totals before."""
+    done = running_sum(counts, [key], count, "end")
+    return done.select(*counts.columns, (F.col("end") - F.col(count)).alias("begin"), "end")
 
 
 def dense_shape_errors(values: DataFrame, layer: str) -> DataFrame:

@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyatlas.operators import batches, matrix, schema, search
+from polyatlas.operators import batches, intervals, matrix, schema, search
+from polyatlas.operators import dex as differences
+
+
+#: Local indexes of pinned features that go into a scan's condition; more are joined.
+LOCAL_INDEXES = 1000
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,13 @@ class MultimodalResult:
     def __getitem__(self, space: str):
         return self.mod[space]
 
+    def to_mudata(self) -> dict[str, MatrixResult]:
+        """The modalities that are matrices, by space; others are left out with a warning."""
+        for space, held in self.mod.items():
+            if not isinstance(held, MatrixResult):
+                warnings.warn(f"{space} has no matrix and is left out", stacklevel=2)
+        return {s: held for s, held in self.mod.items() if isinstance(held, MatrixResult)}
+
     def __contains__(self, space: str) -> bool:
         return space in self.mod
 
@@ -41,6 +53,26 @@ class MultimodalResult:
         return f"MultimodalResult({', '.join(self.mod)})"
 
 
+@dataclass(frozen=True)
+class MultimodalDataset:
+    """A batch plan (uid, grp, worker, ordinal, worker_batch, batch, a boolean for each space, metadata) and the batches of each space's present cells."""
+
+    plan: DataFrame
+    batches: Mapping[str, DataFrame | None]
+
+    def groups(self) -> DataFrame:
+        """(uid, grp) in the order of the plan; the greatest number is that of cells without the first space."""
+        return self.plan.select("uid", "grp", "worker", "ordinal").orderBy("worker", "ordinal").select("uid", "grp")
+
+    def n_cells(self) -> int:
+        return self.plan.count()
+
+    def dense(self, space: str, n_features: int) -> DataFrame:
+        """(batch, uid, values): the rows of a space, those of a sparse one filled with zeros."""
+        held = self.batches[space]
+        return batches.dense_rows(held, n_features) if "offsets" in held.columns else held.select("batch", F.inline(F.arrays_zip("uids", "values"))).withColumnRenamed("uids", "uid")
+
+
 @dataclass(frozen=True)
 class AtlasVersion:
     """Tables of one version: cells, and by space registries, layouts and values."""
@@ -51,6 +83,21 @@ class AtlasVersion:
     values: Mapping[str, DataFrame] = field(default_factory=dict)
     datasets: DataFrame | None = None
     version: int | None = None
+    #: By space, values kept in order of feature, and the groups that are in them whole.
+    by_feature: Mapping[str, tuple[DataFrame, tuple[str, ...]]] = field(default_factory=dict)
+
+    def schemas(self) -> dict[str, str]:
+        """The columns of every table, as DDL."""
+        tables = {"cells": self.cells, "datasets": self.datasets}
+        for kind, held in (("registry", self.registries), ("layouts", self.layouts), ("values", self.values)):
+            tables |= {f"{s}_{kind}": df for s, df in held.items()}
+        return {n: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for n, df in tables.items() if df is not None}
+
+    def chromosomes(self, space: str) -> DataFrame:
+        """(global_index, chrom) of an interval space in order of global index: the registry's names, or those of its fragments, numbered by name."""
+        if space in self.registries:
+            return self.registries[space].select("global_index", F.col("uid").alias("chrom")).orderBy("global_index")
+        return intervals.joint_chromosomes(self.values[space]).select(F.col("global_chrom").alias("global_index"), "chrom").orderBy("global_index")
 
     def query(self) -> AtlasQuery:
         return AtlasQuery(self)
@@ -199,6 +246,18 @@ class AtlasQuery:
             return matrix.resolve_features(self.atlas.registries[space], self._features[space]).select("global_index")
         return matrix.feature_space(layout, cells, self._join)
 
+    def _values(self, space: str) -> DataFrame:
+        """Values of a space; for pinned features those kept in order of feature, by the local indexes wanted, and the plain ones of groups not kept so."""
+        values = self.atlas.values[space]
+        if space not in self.atlas.by_feature or space not in self._features:
+            return values
+        kept, groups = self.atlas.by_feature[space]
+        wanted = self.atlas.layouts[space].where(F.col("feature_uid").isin(*self._features[space]) & F.col("grp").isin(*groups))
+        local = [r[0] for r in wanted.select("local_index").distinct().limit(LOCAL_INDEXES + 1).collect()]
+        if len(local) <= LOCAL_INDEXES:  # reaches the scan, so row groups of other features are skipped
+            kept = kept.where(F.col("local_index").isin(*local))
+        return kept.unionByName(values.where(~F.col("grp").isin(*groups)).select(*kept.columns))
+
     # terminals
 
     def to_frame(self) -> DataFrame:
@@ -220,8 +279,10 @@ class AtlasQuery:
         layers = kind.check_layers(self._layers.get(space, ()))
         cells = self._present(space)
         features = self._feature_space(space, cells)
-        layout, values = self.atlas.layouts[space], self.atlas.values[space]
-        if kind.kind == schema.SPARSE:
+        layout, values = self.atlas.layouts[space], self._values(space)
+        if kind.reconstruct is not None:
+            x = kind.reconstruct(values, cells, layout, features, layers)
+        elif kind.kind == schema.SPARSE:
             x = matrix.reconstruct_sparse(values, cells, layout, features, layers)
         else:
             x = matrix.reconstruct_dense(values, cells, layout, features, layers[0])
@@ -258,6 +319,37 @@ class AtlasQuery:
             mod[space] = self.to_fragments(space) if kind.kind == schema.INTERVAL else self.to_array(space)[0] if not kind.registered else self.to_matrix(space)
         return MultimodalResult(self.obs(), mod, cells.select("uid", *(F.col(s).isNotNull().alias(s) for s in self.pointers())))
 
+    def to_joint_fragments(self, space: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(fragments, cell offsets, chromosomes) of the selected cells over the union of their chromosomes; see ``intervals.joint_fragments``."""
+        return intervals.joint_fragments(self.to_fragments(space), self._present(space).select(F.col("uid").alias("cell")))
+
+    def dex(self, space: str, by: str, target: Sequence | None, control, layer: str | None = None, **options) -> DataFrame:
+        """``dex.dex`` of the selected cells, grouped by the column ``by``: the targets, or all other values, against the control.
+
+        Only features that every group of cells under comparison measured take
+        part, and values are normalised over these.
+        """
+        cells = self.cells().where(F.col(space).isNotNull() & F.col(by).isNotNull())
+        grouped = cells.select("uid", F.col(by).alias("grp"))
+        if target is None:
+            target = sorted(r[0] for r in grouped.where(F.col("grp") != F.lit(control)).select("grp").distinct().collect())
+        chosen = replace(self, _join=matrix.INTERSECTION, _features={k: v for k, v in self._features.items() if k != space})
+        chosen = chosen._compared(by, [*target, control]).layers(space, [layer] if layer else [])
+        result = chosen.to_matrix(space)
+        if result.x is None:
+            raise ValueError(f"no cell of the groups has {space}")
+        if schema.get_space(space).kind == schema.DENSE:
+            order = F.posexplode("values").alias("feature", "value")
+            values = result.x.select("uid", order)
+        else:
+            values = result.x.select("uid", F.col("global_index").alias("feature"), F.col(result.layers[0]).alias("value"))
+        return differences.dex(values, grouped, target, control, **options)
+
+    def _compared(self, by: str, groups: Sequence) -> AtlasQuery:
+        """The same query over the cells of some values of ``by`` only."""
+        cells = self.cells().where(F.col(by).isin(*groups))
+        return replace(self, atlas=replace(self.atlas, cells=cells), _where=None, _limit=None, _balanced=None, _search=None)
+
     def to_fragments(self, space: str) -> DataFrame:
         """Fragments of the selected cells, on the names of their chromosomes."""
         if schema.get_space(space).kind != schema.INTERVAL:
@@ -291,15 +383,30 @@ class AtlasQuery:
         steps = batches.batch_plan(self._present(space), **plan)
         return steps, batches.sparse_batches(steps, result.x, result.layers[0])
 
-    def to_multimodal_dataset(self, spaces: Sequence[str], **plan) -> DataFrame:
-        """A batch plan over all cells by the group of the first space, with a presence column for each space.
+    def to_multimodal_dataset(self, spaces: Sequence[str], layers: Mapping[str, str] | None = None, metadata: Sequence[str] = (), **plan) -> MultimodalDataset:
+        """A batch plan over all cells by the group of the first space, and the batches of each space.
 
-        Cells without the first space form a group of their own.
+        Cells without the first space come last, as a group of their own. Layers
+        are ``counts`` where a space allows it, else its first required one.
         """
         cells = self.cells()
-        first = spaces[0]
-        steps = batches.batch_plan(cells.select("uid", F.coalesce(F.col(f"{first}.grp").cast("string"), F.lit("absent")).alias("grp")), **plan)
-        return steps.join(cells.select("uid", *(F.col(s).isNotNull().alias(s) for s in spaces)), "uid")
+        numbered = batches.group_ids(cells.select(F.col(f"{spaces[0]}.grp").cast("string").alias("grp")))
+        sentinel = numbered.agg(F.count("*").alias("n"))
+        own = cells.select("uid", F.col(f"{spaces[0]}.grp").cast("string").alias("grp")).join(numbered, "grp", "left").join(F.broadcast(sentinel), F.lit(True))
+        steps = batches.batch_plan(own.select("uid", F.coalesce("group_id", "n").alias("grp")), **plan)
+        steps = steps.join(cells.select("uid", *(F.col(s).isNotNull().alias(s) for s in spaces), *metadata), "uid")
+        held = {}
+        for s in spaces:
+            kind = schema.get_space(s)
+            layer = (layers or {}).get(s) or ("counts" if "counts" in kind.allowed else kind.check_layers(())[0])
+            present = steps.where(F.col(s)).select("uid", "batch", "ordinal")
+            if kind.kind == schema.SPARSE:
+                x = self.layers(s, [layer]).to_matrix(s).x
+                held[s] = None if x is None else batches.sparse_batches(present, x, layer)
+            elif kind.kind == schema.DENSE:
+                rows = self.layers(s, [layer]).to_matrix(s).x if kind.registered else self.to_array(s, layer)[0].withColumnRenamed(layer, "values")
+                held[s] = None if rows is None else batches.dense_batches(present, rows)
+        return MultimodalDataset(steps, held)
 
 
 def pointer(space: str, grp: Column, present: Column) -> Column:

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPARSE, DENSE, INTERVAL = "sparse", "dense", "interval"
 
 
+class Reconstructor(Protocol):
+    """How a space's own matrix is made: a table (uid, global_index, layers...) or (uid, values) of the cells (uid, grp) at the features (global_index)."""
+
+    def __call__(self, values: DataFrame, cells: DataFrame, layout: DataFrame, features: DataFrame, layers: Sequence[str]) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class FeatureSpace:
     """How one kind of measurement is kept: its pointer kind, whether features are registered, and its value layers."""
@@ -21,7 +28,12 @@ class FeatureSpace:
     registered: bool = True
     required: tuple[str, ...] = ()
     allowed: tuple[str, ...] = ()
-    reconstruct: Callable[..., DataFrame] | None = field(default=None, compare=False)
+    #: Used by ``to_matrix`` instead of the built-in plan of the kind.
+    reconstruct: Reconstructor | None = field(default=None, compare=False)
+    #: Kind of numbers of each layer: integer, float or any.
+    dtypes: Mapping[str, str] = field(default_factory=dict, compare=False)
+    #: Nesting of a dense layer's arrays.
+    ndim: int = 1
 
     def check_layers(self, layers: Sequence[str]) -> tuple[str, ...]:
         """The layers to read: those asked for, else the required ones."""
@@ -63,6 +75,53 @@ for _space in (
 ):
     register_space(_space)
 
+def _number_kind(data_type: T.DataType) -> str:
+    if isinstance(data_type, T.IntegralType):
+        return "integer"
+    return "float" if isinstance(data_type, (T.FractionalType, T.DecimalType)) else "other"
+
+
+def group_errors(space: FeatureSpace, values: DataFrame) -> list[str]:
+    """What is wrong with a table of values of one group: layers that are missing or not allowed, the wrong kind of numbers or nesting, arrays of unequal shape.
+
+    Only shapes need the data; one row for each layer comes back.
+    """
+    fixed = {"uid", "grp", "local_index", "chrom", "start", "length", "cell"}
+    layers = [c for c in values.columns if c not in fixed]
+    errors = [f"{space.name}: no layer {x}" for x in space.required if x not in layers]
+    errors += [f"{space.name}: layer {x} isn't allowed" for x in layers if space.allowed and x not in space.allowed]
+    shaped = []
+    for x in layers:
+        kind, depth = values.schema[x].dataType, 0
+        while isinstance(kind, T.ArrayType):
+            kind, depth = kind.elementType, depth + 1
+        want = space.ndim if space.kind == DENSE else 0
+        if depth != want:
+            errors.append(f"{space.name}: layer {x} has {depth} dimensions, not {want}")
+        elif depth:
+            shaped.append(x)
+        expected = space.dtypes.get(x, "any")
+        if _number_kind(kind) == "other" or expected not in ("any", _number_kind(kind)):
+            errors.append(f"{space.name}: layer {x} holds {kind.simpleString()}, not {expected if expected != 'any' else 'numbers'}")
+    if shaped:
+        found = values.agg(*(F.count_distinct(F.size(x)).alias(f"n{i}") for i, x in enumerate(shaped))).first()
+        errors += [f"{space.name}: layer {x} has arrays of {found[f'n{i}']} lengths" for i, x in enumerate(shaped) if found[f"n{i}"] > 1]
+    return errors
+
+
+@dataclass(frozen=True)
+class PointerField:
+    """A pointer column of a cell table and the space it points into."""
+
+    name: str
+    feature_space: str
+    kind: str
+
+
+def pointer_fields(schema: T.StructType) -> list[PointerField]:
+    return [PointerField(n, n, get_space(n).kind) for n in check_cell_schema(schema)]
+
+
 POINTER_FIELDS = frozenset({"feature_space", "grp"})
 
 
@@ -98,6 +157,26 @@ def align_obs(obs: DataFrame, schema: T.StructType, renames: Mapping[str, str] |
     return obs.select(*((F.col(f.name) if f.name in obs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def auto_fields(obs: DataFrame, fields: Mapping[str, Callable[[DataFrame], Column]]) -> DataFrame:
+    """``obs`` with each field computed from the others by its function of the table; a field that is there already is replaced."""
+    return obs.withColumns({name: make(obs) for name, make in fields.items()})
+
+
+def search_string(types: Column, uids: Column, prefixes: Mapping[str, str]) -> Column:
+    """Words ``prefix:uid`` of two parallel lists, for text search; a type without a prefix, or a null uid, has no word."""
+    prefix = F.create_map(*(F.lit(x) for pair in prefixes.items() for x in pair))
+    words = F.zip_with(types, uids, lambda t, u: F.concat(F.element_at(prefix, t), F.lit(":"), u.cast("string")))
+    return F.array_join(F.array_compact(words), " ")
+
+
+def integral_as_int(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns of floats that hold whole numbers of 32 bits only become integers; one row comes back to tell."""
+    if not columns:
+        return df
+    whole = df.agg(*(F.coalesce(F.bool_and((F.col(c) == F.floor(c)) & (F.abs(c) < 2**31)), F.lit(False)).alias(c) for c in columns)).first()
+    return df.withColumns({c: F.col(c).cast("int") for c in columns if whole[c]})
+
+
 def row_errors(df: DataFrame, equal_lengths: Sequence[Sequence[str]] = (), domains: Mapping[str, Sequence[str]] | None = None, any_of: Sequence[Sequence[str]] = ()) -> DataFrame:
     """(row columns, errors) of rows that break a rule: parallel lists of unequal length, values outside a domain, no identifier."""
     rules = []

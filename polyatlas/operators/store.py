@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ class Files:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._io, self._charset = jvm.org.apache.commons.io.IOUtils, "UTF-8"
+        self._files, self._paths = jvm.java.nio.file.Files, jvm.java.nio.file.Paths
+        self._none = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)
         self.root = root.rstrip("/")
 
     def exists(self, name: str) -> bool:
@@ -51,15 +54,41 @@ class Files:
             stream.close()
 
     def create(self, name: str, content: dict) -> bool:
-        """Write a whole file and move it to its name; False if the name is taken."""
-        target, temporary = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/.tmp-{uuid.uuid4().hex}")
+        """Write a whole file under its name; False if the name is taken. Of several writers of one name one succeeds.
+
+        On a local file system a link to the written file takes the name, on one
+        with atomic renames that refuse a taken name a rename, elsewhere a
+        create without overwrite, which object stores settle when it closes.
+        """
+        target = self._path(f"{self.root}/{name}")
         self.fs.mkdirs(target.getParent())
-        stream = self.fs.create(temporary, False)
-        stream.write(bytearray(json.dumps(content).encode()))
-        stream.close()
-        if self.fs.exists(target) or not self.fs.rename(temporary, target):
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            return self._write(target, content)
+        temporary = self._path(f"{self.root}/.tmp-{uuid.uuid4().hex}")
+        self._write(temporary, content)
+        try:
+            if scheme == "file":
+                local = lambda p: self._paths.get(p.toUri().getPath(), self._none)
+                self._files.createLink(local(target), local(temporary))
+                return True
+            return not self.fs.exists(target) and self.fs.rename(temporary, target)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        finally:
             self.fs.delete(temporary, False)
-            return False
+
+    def _write(self, path, content: dict) -> bool:
+        try:
+            stream = self.fs.create(path, False)
+            stream.write(bytearray(json.dumps(content).encode()))
+            stream.close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
         return True
 
 
@@ -70,8 +99,8 @@ class Atlas:
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, spaces: Sequence[str], obs: str = "", uid: str = "string") -> Atlas:
-        """A new atlas with typed empty tables; ``obs`` are further cell columns as DDL."""
+    def create(cls, spark: SparkSession, path: str, spaces: Sequence[str], obs: str = "", uid: str = "string", features: Mapping[str, str] | None = None) -> Atlas:
+        """A new atlas with typed empty tables; ``obs`` are further cell columns as DDL, ``features`` further registry columns of a space."""
         atlas = cls(spark, path)
         if atlas.files.numbers("log"):
             raise FileExistsError(f"there is an atlas at {path}")
@@ -83,7 +112,8 @@ class Atlas:
         tables = {"cells": f"uid {uid}, dataset_uid string, {pointers}" + (f", {obs}" if obs else ""), "datasets": "uid string, grp string, feature_space string, n_cells bigint, layout_uid string, created_at string"}
         for s in spaces:
             if schema.get_space(s).registered:
-                tables |= {f"{s}_registry": f"uid {uid}, global_index bigint", f"{s}_layouts": LAYOUT.format(uid=uid)}
+                more = (features or {}).get(s)
+                tables |= {f"{s}_registry": f"uid {uid}, global_index bigint" + (f", {more}" if more else ""), f"{s}_layouts": LAYOUT.format(uid=uid)}
         schema.check_cell_schema(T._parse_datatype_string(tables["cells"]))
         atlas.files.create("log/0.json", {"spaces": list(spaces), "uid": uid, "schemas": tables, "tables": {}})
         return atlas
@@ -146,12 +176,21 @@ class Atlas:
     # ingest
 
     def register_features(self, space: str, features: DataFrame | Sequence) -> int:
-        """Add the features not registered yet and return how many; rows there are never change, of repeats the first by content counts."""
+        """Add the features (uid, metadata) not registered yet and return how many; rows there are never change.
+
+        Metadata that the registry lacks raises, missing columns become null. Of
+        rows of one uid the least by content counts; null uids are left out.
+        """
         name = f"{space}_registry"
         registry = self.table(name)
         if not isinstance(features, DataFrame):
             features = self.spark.createDataFrame([(u,) for u in features], f"uid {registry.schema['uid'].dataType.simpleString()}")
-        fresh = features.select("uid").distinct().join(registry.select("uid"), "uid", "left_anti").withColumn("global_index", F.lit(None).cast("long")).persist()
+        free = [f for f in registry.schema if f.name not in ("uid", "global_index")]
+        if extra := [c for c in features.columns if c not in registry.columns]:
+            raise ValueError(f"feature columns {extra} aren't in the registry of {space}")
+        columns = [(F.col(f.name) if f.name in features.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in free]
+        once = features.where("uid is not null").groupBy("uid").agg(F.min(F.struct(*columns)).alias("_m")).select("uid", "_m.*") if free else features.select("uid").where("uid is not null").distinct()
+        fresh = once.join(registry.select("uid"), "uid", "left_anti").withColumn("global_index", F.lit(None).cast("long")).select(*registry.columns).persist()
         n = fresh.count()
         if n:
             self._append({name: fresh})
@@ -183,8 +222,15 @@ class Atlas:
             layers = [c for c in values.columns if c not in ("uid", "local_index", "chrom", "start", "length")]
             if kind.kind != schema.INTERVAL:
                 kind.check_layers(layers)
+                if errors := schema.group_errors(kind, values):
+                    raise ValueError("; ".join(errors))
             kept = values.where(" or ".join(f"{x} <> 0" for x in layers)) if kind.kind == schema.SPARSE else values
             kept = kept.withColumn("grp", F.lit(grp))
+            if f"{space}_values" in state["schemas"]:  # later groups take the types of the first
+                known = T._parse_datatype_string(state["schemas"][f"{space}_values"])
+                if extra := [c for c in kept.columns if c not in known.fieldNames()]:
+                    raise ValueError(f"{space}: columns {extra} aren't in the stored values")
+                kept = schema.align_obs(kept, known)
             schemas[f"{space}_values"] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
             frames[f"{space}_values"] = kept
             if kind.registered and features is not None:
@@ -227,13 +273,101 @@ class Atlas:
         return [s for s in state["spaces"] if f"{s}_registry" in state["schemas"]]
 
     def optimize(self) -> None:
-        """Number new features, fill layouts with the numbers, and rewrite small parts of the dimension tables together."""
+        """Number new features, fill layouts with the numbers, and compact every table of several parts into one.
+
+        Cells, values and fragments are rewritten by group, in order of their
+        keys, in files as large as the session's partitions; what other writers
+        add meanwhile stays beside it. Parts that versions name are kept.
+        """
         state = self._state()
         for s in self._spaces(state):
             self._replace({f"{s}_registry": matrix.reindex(self._load(state, f"{s}_registry"))})
             now = self._state()
             self._replace({f"{s}_layouts": matrix.sync_layout(self._load(now, f"{s}_layouts"), self._load(now, f"{s}_registry"))})
         self._replace({"datasets": self._load(self._state(), "datasets").coalesce(1)})
+        for name in [n for n, parts in state["tables"].items() if len(parts) > 1 and not n.endswith(("_registry", "_layouts")) and n != "datasets"]:
+            whole = self._load(self._state(), name)
+            keys = [c for c in ("grp", "dataset_uid", "uid") if c in whole.columns][:2]
+            self._replace({name: whole.repartitionByRange(*keys).sortWithinPartitions(*keys)})
+
+    def add_csc(self, space: str, groups: Sequence[str] | None = None) -> int:
+        """Keep the values of groups, or of all, a second time in order of feature, and return how many there are.
+
+        Only a sparse space can; values of cells that the cell table lacks or has
+        twice, and repeated (cell, feature) pairs, raise. Queries for pinned
+        features read this copy for its groups, and the plain table for others.
+        """
+        if schema.get_space(space).kind != schema.SPARSE:
+            raise TypeError(f"{space} isn't sparse")
+        state = self._state()
+        values = self._load(state, f"{space}_values")
+        groups = sorted(groups if groups is not None else [r[0] for r in values.select("grp").distinct().collect()])
+        own = values.where(F.col("grp").isin(*groups))
+        cells = self._load(state, "cells").where(F.col(f"{space}.grp").isin(*groups)).groupBy("uid").agg(F.count("*").alias("times"))
+        if not cells.where("times > 1").isEmpty():
+            raise ValueError(f"{space}: repeated cells")
+        if not own.join(cells, "uid", "left_anti").isEmpty():
+            raise ValueError(f"{space}: values of unknown cells")
+        if not own.groupBy("uid", "local_index").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+            raise ValueError(f"{space}: repeated values of a cell and feature")
+        n = own.count()
+        name = f"{space}_csc"
+        part = self._write(name, own.repartitionByRange("local_index", "grp").sortWithinPartitions("local_index", "grp", "uid"))
+
+        def change(now: dict) -> dict:
+            now["schemas"][name] = state["schemas"][f"{space}_values"]
+            now["tables"][name] = [part]
+            now.setdefault("csc", {})[space] = groups
+            return now
+
+        self._commit(change)
+        return n
+
+    def add_coo_batch(self, space: str, path: str, obs: DataFrame, var: DataFrame, dataset_uid: str, n_cells: int | None = None, n_features: int | None = None, layer: str | None = None, grp: str | None = None, **reading) -> int:
+        """Ingest a file of triplets: ``obs`` (row, uid, columns) and ``var`` (local_index, feature_uid) name its rows and columns.
+
+        Their sizes must be ``n_cells`` and ``n_features`` where these are given,
+        and every triplet must lie inside; cells without triplets have none. See
+        ``sources.read_coo`` for the format.
+        """
+        from polyatlas.sources.files import read_coo
+
+        layer = layer or schema.get_space(space).check_layers(())[0]
+        for name, table, want, key in (("obs", obs, n_cells, "row"), ("var", var, n_features, "local_index")):
+            found = table.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.min(key).alias("a"), F.max(key).alias("b")).first()
+            if want is not None and found["n"] != want:
+                raise ValueError(f"{name} has {found['n']} rows, not {want}")
+            if found["n"] and (found["d"] != found["n"] or found["a"] != 0 or found["b"] != found["n"] - 1):
+                raise ValueError(f"{name}: {key} must number its rows from 0")
+        triplets = read_coo(self.spark, path, **reading)
+        outside = triplets.join(obs.select("row"), "row", "left_anti").isEmpty() and triplets.join(var.select("local_index"), "local_index", "left_anti").isEmpty()
+        if not outside:
+            raise ValueError("triplets outside the rows of obs or var")
+        values = triplets.join(obs.select("row", "uid"), "row").select("uid", "local_index", F.col("value").alias(layer))
+        return self.add_batch(space, obs.drop("row"), var.select("local_index", "feature_uid"), values, dataset_uid, grp)
+
+    def add_from_matrix(self, space: str, source, dataset_uid: str, layer: str | None = None, grp: str | None = None) -> int:
+        """Ingest an object with ``obs`` and ``var`` (pandas tables with the uids as index) and ``X`` (an array, or a sparse matrix with ``tocoo``), as annotated matrices are.
+
+        What is in the driver's memory already is sent on as Arrow tables.
+        """
+        import numpy as np
+        import pandas as pd
+
+        kind = schema.get_space(space)
+        layer = layer or kind.check_layers(())[0]
+        obs = source.obs.rename_axis("uid").reset_index()
+        var = pd.DataFrame({"local_index": np.arange(len(source.var), dtype=np.int64), "feature_uid": source.var.index})
+        uids = obs["uid"].to_numpy()
+        if kind.kind == schema.DENSE:
+            rows = source.X.toarray() if hasattr(source.X, "toarray") else np.asarray(source.X)
+            values = pd.DataFrame({"uid": uids, layer: [r.tolist() for r in rows.astype(float)]})
+        else:
+            x = source.X.tocoo() if hasattr(source.X, "tocoo") else None
+            row, col = (x.row, x.col) if x is not None else np.nonzero(np.asarray(source.X))
+            values = pd.DataFrame({"uid": uids[row], "local_index": col.astype(np.int64), layer: x.data if x is not None else np.asarray(source.X)[row, col]})
+        make = self.spark.createDataFrame
+        return self.add_batch(space, make(obs), make(var), make(values), dataset_uid, grp)
 
     def validate(self) -> list[str]:
         """What is wrong: unnumbered features, unsound layouts, cells without dataset or repeated."""
@@ -247,7 +381,7 @@ class Atlas:
             if r["u"]:
                 errors.append(f"{s}: {r['u']} features without an index")
             layouts = self._load(state, f"{s}_layouts").withColumnRenamed("layout_uid", "grp")
-            for e in matrix.layout_errors(layouts, registry).where("null_uids + null_globals + repeats + unresolved > 0").orderBy("grp").limit(20).collect():
+            for e in matrix.layout_errors(layouts, registry).where("null_uids + null_globals + repeats + unresolved > 0").orderBy("grp").toLocalIterator():
                 errors.append(f"{s}: layout {e['grp']} has {e['null_uids']} null uids, {e['null_globals']} unindexed, {e['repeats']} repeated, {e['unresolved']} unknown features")
         lost = cells.join(datasets.select(F.col("uid").alias("dataset_uid")).distinct(), "dataset_uid", "left_anti").count()
         if lost:
@@ -284,7 +418,7 @@ class Atlas:
             raise ValueError(f"no version {version}")
         state = self.files.read(f"versions/{version}.json")
         datasets = self._load(state, "datasets")
-        registries, layouts, values = {}, {}, {}
+        registries, layouts, values, kept = {}, {}, {}, {}
         for s in state["spaces"]:
             if f"{s}_registry" in state["schemas"]:
                 registries[s] = self._load(state, f"{s}_registry")
@@ -293,7 +427,9 @@ class Atlas:
             if f"{s}_values" in state["schemas"]:
                 part = self._load(state, f"{s}_values")
                 values[s] = part.withColumnRenamed("uid", "cell") if schema.get_space(s).kind == schema.INTERVAL else part
-        return AtlasVersion(self._load(state, "cells"), registries, layouts, values, datasets, version)
+            if s in state.get("csc", {}):
+                kept[s] = (self._load(state, f"{s}_csc"), tuple(state["csc"][s]))
+        return AtlasVersion(self._load(state, "cells"), registries, layouts, values, datasets, version, kept)
 
     def checkout_latest(self) -> AtlasVersion:
         versions = self.files.numbers("versions")

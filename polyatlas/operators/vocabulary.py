@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyatlas.functions import labels
+from polyatlas.operators.order import checkpointed
 
 CANONICAL, SINGLE, AMBIGUOUS, FUZZY, NONE = 1.0, 0.9, 0.7, 0.7, 0.0
+#: Of compounds found by number or structure.
+MOLECULE = 0.95
 # Ontology prefixes of an entity, and of a development stage by organism.
 PREFIXES = {
     "cell_type": ("CL",), "tissue": ("UBERON",), "disease": ("MONDO",), "organism": ("NCBITaxon",), "assay": ("EFO",),
-    "development_stage": ("HsapDv", "MmusDv"), "ethnicity": ("HANCESTRO",),
+    "development_stage": ("HsapDv", "MmusDv"), "ethnicity": ("HANCESTRO",), "sex": ("PATO",),
 }
 STAGE_PREFIX = {"human": "HsapDv", "homo_sapiens": "HsapDv", "mouse": "MmusDv", "mus_musculus": "MmusDv"}
 
@@ -125,10 +130,80 @@ def resolve_terms_of(inputs: DataFrame, terms: DataFrame, entity: str, organism:
     return resolve_terms(inputs, terms.where(F.substring_index("term_id", ":", 1).isin(*entity_prefixes(entity, organism))))
 
 
+def resolve_cell_types(inputs: DataFrame, terms: DataFrame) -> DataFrame:
+    return resolve_terms_of(inputs, terms, "cell_type")
+
+
+def resolve_tissues(inputs: DataFrame, terms: DataFrame) -> DataFrame:
+    return resolve_terms_of(inputs, terms, "tissue")
+
+
+def resolve_diseases(inputs: DataFrame, terms: DataFrame) -> DataFrame:
+    return resolve_terms_of(inputs, terms, "disease")
+
+
+def resolve_organisms(inputs: DataFrame, terms: DataFrame) -> DataFrame:
+    return resolve_terms_of(inputs, terms, "organism")
+
+
+def resolve_assays(inputs: DataFrame, terms: DataFrame) -> DataFrame:
+    return resolve_terms_of(inputs, terms, "assay")
+
+
+def term_ids(inputs: DataFrame, terms: DataFrame, entity: str, organism: str | None = None) -> DataFrame:
+    """(ordinal, value, term_id) of the router's result."""
+    return resolve_terms_of(inputs, terms, entity, organism).select("ordinal", "value", "term_id")
+
+
+def resolve_proteins(inputs: DataFrame, aliases: DataFrame, proteins: DataFrame) -> DataFrame:
+    """``resolve_aliases`` over accessions, with (protein_name, gene_name, sequence, sequence_length) of ``proteins`` (uniprot_id, ...) beside; null without a record."""
+    names = ("protein_name", "gene_name", "sequence", "sequence_length")
+    known = proteins.groupBy("uniprot_id").agg(F.min(F.struct(*names)).alias("_p")).select(F.col("uniprot_id").alias("_id"), "_p.*")
+    return resolve_aliases(inputs, aliases).join(known, F.col("resolved") == F.col("_id"), "left").drop("_id")
+
+
+def resolve_molecules(inputs: DataFrame, compounds: DataFrame, synonyms: DataFrame, input_type: str = "name") -> DataFrame:
+    """(ordinal, value, resolved, cid, canonical_smiles, confidence) of names, structures or numbers of compounds (cid, name, canonical_smiles).
+
+    Names go by ``resolve_compounds``. A number of a known compound gives 0.95,
+    its own text where it has no name; a structure that is, but for blanks
+    around it, one of the table's 0.95, the least number of equals. Structures
+    are not brought into canonical form.
+    """
+    if input_type not in ("name", "smiles", "cid"):
+        raise ValueError("input_type must be name, smiles or cid")
+    known = compounds.select(F.col("cid").alias("_cid"), F.col("name").alias("_name"), F.col("canonical_smiles").alias("_smiles"))
+    if input_type == "name":
+        named = resolve_compounds(inputs, synonyms)
+        out = named.join(known, F.col("cid") == F.col("_cid"), "left")
+        return out.select("ordinal", "value", "resolved", "cid", F.col("_smiles").alias("canonical_smiles"), "confidence")
+    if input_type == "cid":
+        out = inputs.join(known, F.expr("try_cast(trim(value) as bigint)") == F.col("_cid"), "left")
+    else:
+        first = known.where("_smiles is not null").groupBy("_smiles").agg(F.min(F.struct("_cid", "_name")).alias("m")).select("_smiles", "m.*")
+        out = inputs.join(first, F.trim("value") == F.col("_smiles"), "left")
+    hit = F.col("_cid").isNotNull()
+    return out.select("ordinal", "value", F.when(hit, F.coalesce("_name", F.col("_cid").cast("string"))).alias("resolved"), F.col("_cid").alias("cid"), F.col("_smiles").alias("canonical_smiles"), F.when(hit, MOLECULE).otherwise(NONE).alias("confidence"))
+
+
+def _alternatives(resolutions: DataFrame):
+    return F.size("alternatives") if "alternatives" in resolutions.columns else F.lit(0)
+
+
 def report(resolutions: DataFrame) -> DataFrame:
-    """(total, resolved, unresolved) of a resolution."""
+    """(total, resolved, unresolved, ambiguous) of a resolution; ambiguous are those with alternatives."""
     found = F.count_if(F.col("resolved").isNotNull())
-    return resolutions.agg(F.count("*").alias("total"), found.alias("resolved"), (F.count("*") - found).alias("unresolved"))
+    return resolutions.agg(F.count("*").alias("total"), found.alias("resolved"), (F.count("*") - found).alias("unresolved"), F.count_if(_alternatives(resolutions) > 0).alias("ambiguous"))
+
+
+def report_frame(resolutions: DataFrame) -> DataFrame:
+    """The resolution as a flat table: alternatives joined by "; ", empty without any."""
+    return resolutions.withColumn("alternatives", F.array_join("alternatives", "; ")) if "alternatives" in resolutions.columns else resolutions
+
+
+def ambiguous_values(resolutions: DataFrame) -> DataFrame:
+    """The values with alternatives."""
+    return resolutions.where(_alternatives(resolutions) > 0).select("value")
 
 
 def unresolved_values(resolutions: DataFrame) -> DataFrame:
@@ -141,23 +216,20 @@ def edges(terms: DataFrame) -> DataFrame:
     return pairs.where(F.substring_index("child", ":", 1) == F.substring_index("parent", ":", 1)).distinct()
 
 
-def walk(links: DataFrame, starts: DataFrame, max_depth: int = 100, down: bool = False) -> DataFrame:
+def walk(links: DataFrame, starts: DataFrame, max_depth: int | None = None, down: bool = False) -> DataFrame:
     """(start, node, depth) of all ancestors, or descendants, of ``starts`` (start); the least depth of each, cycle-safe.
 
     One join a level over the nodes met newly; each level is a checkpoint, so a
-    lost executor costs one level.
+    lost executor costs one level. It goes on to the last level, or to
+    ``max_depth``.
     """
     near, far = ("parent", "child") if down else ("child", "parent")
     step = links.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier, spark = seen, starts.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="polyatlas-"))
-    for depth in range(1, max_depth + 1):
+    frontier = seen
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         fresh = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = fresh.withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(fresh.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -181,6 +253,14 @@ def lookup_sequences(names: DataFrame, assembly: DataFrame) -> DataFrame:
     return out.select("name", F.col("m.sequence_name").alias("sequence_name"), F.coalesce("m.sequence_role", F.lit("other")).alias("role"))
 
 
+def append_to_cache(cache: DataFrame, fresh: DataFrame, path: str) -> DataFrame:
+    """Adds the rows of ``fresh`` (guide_sequence, ...) that ``cache`` lacks to the table at ``path``, upper-cased, one of each sequence, and gives the whole."""
+    new = fresh.withColumn("guide_sequence", F.upper("guide_sequence")).where("guide_sequence is not null").dropDuplicates(["guide_sequence"])
+    new = new.join(cache.select("guide_sequence"), "guide_sequence", "left_anti").select(*cache.columns)
+    checkpointed(new).write.mode("append").parquet(path)
+    return cache.sparkSession.read.schema(cache.schema).parquet(path)
+
+
 def resolve_cached(inputs: DataFrame, cache: DataFrame) -> DataFrame:
     """(ordinal, value, found, cached columns) of sequences looked up, upper-cased, in a table of earlier results."""
     known = cache.dropDuplicates(["guide_sequence"])
