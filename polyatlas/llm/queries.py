@@ -73,6 +73,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def packed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 packed of every document: tokens and pieces."""
+    return op4_best_fit_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("size").alias("n_tokens"), F.count("*").alias("n_pieces"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5 alone, which SQL can express."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules of op7 alone, and the verdicts that rules decide."""
+    return op7_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base score of op8 alone, which SQL can express."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -80,9 +100,41 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_sentencepiece, op4_best_fit_packing, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_lm_scoring, op9_nearest_neighbours, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_sentencepiece, op4_best_fit_packing, op5_quality_rules, op6_line_dedup, op7_url_filters, op8_lm_scoring, op9_nearest_neighbours, op10_substring_dedup, pipeline, packed_sizes, quality_base, url_rules, language_model_base)}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_CRC32 = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda crc, b: xor(crc_table[(xor(crc, b) & 255) + 1], crc >> 8))"""
 
 ORACLES = {
+    "packed_sizes": rf"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) + 1 AS BIGINT) AS n_tokens,
+CAST((len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) + 2048) // 2048 AS BIGINT) AS n_pieces FROM documents""",
+    "quality_base": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+t AS (SELECT doc_id, i, word || chr(32) || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY i) || chr(32) || lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM t WHERE s IS NOT NULL) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM l WHERE regexp_matches(line, '{_WORD}') GROUP BY ALL) GROUP BY 1),
+all_ AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM all_""",
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '', 'org/'), ('block', 'example.org', 'es/', 'example.org/es/'), ('block', 'example.org', 'en/1', 'example.org/en/1'), ('allow', 'com', 'fr/', 'com/fr/'), ('block', 'com', 'de/', 'com/de/')) t(verdict, name, prefix, rule)),
+f AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, length(name) DESC) AS nth FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, '/' || prefix))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, verdict AS ruled FROM h LEFT JOIN (SELECT * FROM f WHERE nth = 1) USING (page_id)""",
+    "language_model_base": rf"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table),
+d AS (SELECT doc_id, xor({_CRC32}, 4294967295) % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), chr(10)) AS ws FROM documents, k),
+t AS (SELECT doc_id, held_out, unnest(ws) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+s AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1.0::DOUBLE) / (n + v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (word), s GROUP BY doc_id, held_out""",
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, source, unnest(s) AS line, unnest(range(0, len(s))) AS pos
