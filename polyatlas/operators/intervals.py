@@ -143,6 +143,12 @@ def cell_sorted(fragments: DataFrame) -> DataFrame:
     return fragments.repartitionByRange("cell").sortWithinPartitions("cell", "chrom", "start")
 
 
+def write_cell_sorted(fragments: DataFrame, path: str) -> DataFrame:
+    """Fragments written once in order of cell, so that a cell's are in few places, and read again."""
+    cell_sorted(fragments).write.mode("errorifexists").parquet(path)
+    return fragments.sparkSession.read.parquet(path)
+
+
 def genome_sorted(fragments: DataFrame) -> DataFrame:
     """Fragments in order of chromosome and start within ranges of both, for region scans."""
     return fragments.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "length", "cell")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from polyatlas.operators import batches, intervals, matrix, schema, search
 from polyatlas.operators import dex as differences
+from polyatlas.operators.order import places
 
 
 #: Local indexes of pinned features that go into a scan's condition; more are joined.
@@ -118,6 +119,10 @@ class AtlasVersion:
             raise ValueError(f"no registry columns {unknown}; there are {free}")
         return df.join(registry.select(F.col("uid").alias("_uid"), *columns), F.col(on) == F.col("_uid"), "left").drop("_uid")
 
+    def feature_layout(self, space: str, grp) -> DataFrame:
+        """(local_index, feature_uid, global_index) of one group in its own order."""
+        return self.layouts[space].where(F.col("grp") == F.lit(grp)).select("local_index", "feature_uid", "global_index").orderBy("local_index")
+
     def find_datasets_with_features(self, uids: Sequence, space: str) -> DataFrame:
         """(global_feature_uid, dataset columns) of the datasets whose layout has a feature."""
         hit = self.layouts[space].where(F.col("feature_uid").isin(*uids)).select(F.col("feature_uid").alias("global_feature_uid"), "grp").distinct()
@@ -160,8 +165,12 @@ class AtlasQuery:
             raise ValueError("limit and balanced_limit exclude each other")
         return replace(self, _balanced=(n, column))
 
-    def search(self, query: str | Sequence[float] | None = None, *, vector: Sequence[float] | None = None, vector_column: str | None = None, text: str | None = None, text_column: str | None = None, k: int = 10, metric: str = "l2", prefilter: bool = False) -> AtlasQuery:
-        """The ``k`` cells nearest to a vector, best for a text, or both by rank fusion; conditions follow unless ``prefilter``."""
+    def search(self, query: str | Sequence[float] | None = None, *, vector: Sequence[float] | None = None, vector_column: str | None = None, text: str | None = None, text_column: str | Sequence[str] | None = None, k: int = 10, metric: str = "l2", prefilter: bool = False, query_type: str = "auto") -> AtlasQuery:
+        """The ``k`` cells nearest to a vector, best for a text, or both by rank fusion; conditions follow unless ``prefilter``.
+
+        A text is searched in one column or in several as one. ``query_type`` is
+        auto, vector, fts or hybrid; any but auto must fit what is given.
+        """
         if isinstance(query, str):
             text = query
         elif query is not None:
@@ -170,6 +179,11 @@ class AtlasQuery:
             raise ValueError("search needs a vector or a text")
         if (vector is not None and vector_column is None) or (text is not None and text_column is None):
             raise ValueError("name the column to search")
+        found = "hybrid" if vector is not None and text is not None else "vector" if vector is not None else "fts"
+        if query_type not in ("auto", found):
+            raise ValueError(f"a search of type {query_type} needs other input than that of {found}")
+        if text_column is not None and not isinstance(text_column, str):
+            text_column = tuple(text_column)
         return replace(self, _search=(vector, vector_column, text, text_column, k, metric, prefilter))
 
     def feature_spaces(self, *spaces: str) -> AtlasQuery:
@@ -199,7 +213,7 @@ class AtlasQuery:
         vector, vector_column, text, text_column, k, metric, _ = self._search
         near = search.nearest(cells, vector_column, vector, k, "uid", metric).select("uid", F.col("distance").alias("_distance")) if vector is not None else None
         asked = cells.sparkSession.createDataFrame([(0, text)], "query int, text string") if text is not None else None
-        best = search.bm25(asked, cells.select(F.col("uid").alias("doc"), F.col(text_column).alias("text"))).orderBy(F.desc("score"), "doc").limit(k).select(F.col("doc").alias("uid"), F.col("score").alias("_score")) if text is not None else None
+        best = search.bm25(asked, cells.select(F.col("uid").alias("doc"), (F.col(text_column) if isinstance(text_column, str) else F.concat_ws(" ", *text_column)).alias("text"))).orderBy(F.desc("score"), "doc").limit(k).select(F.col("doc").alias("uid"), F.col("score").alias("_score")) if text is not None else None
         if near is not None and best is not None:
             both = search.fuse(near.select(F.col("uid").alias("key"), F.col("_distance").alias("distance")), best.select(F.col("uid").alias("key"), F.col("_score").alias("score")))
             return cells.join(both.orderBy(F.desc("score"), "key").limit(k).select(F.col("key").alias("uid"), F.col("score").alias("_score")), "uid")
@@ -263,6 +277,12 @@ class AtlasQuery:
     def to_frame(self) -> DataFrame:
         return self.obs()
 
+    def to_row_ids(self) -> DataFrame:
+        """(uid, pointers, row_id): the selected cells that have any space, numbered from 0 in order of uid."""
+        cells = self.cells()
+        any_ = F.coalesce(*(F.when(F.col(s).isNotNull(), True) for s in self.pointers()), F.lit(False))
+        return places(cells.where(any_).select("uid", *self.pointers()), ["uid"], "row_id")
+
     def count(self, group_by: str | list[str] | None = None) -> int | DataFrame:
         """The number of cells, or (keys, count) in order of the keys, after the limits."""
         if group_by is None:

@@ -26,6 +26,16 @@ def read_bed_fragments(spark: SparkSession, path: str, barcode_col: int = 3) ->
     return raw.select(F.col("c0").alias("chrom"), F.col("c1").cast("long").alias("start"), checked.cast("int").alias("length"), F.col(f"c{barcode_col}").alias("barcode"))
 
 
+def primary_sequences(assembly: DataFrame) -> DataFrame:
+    """The sequences of the primary assembly, the organelles among them."""
+    return assembly.where("is_primary_assembly")
+
+
+def chromosomes(assembly: DataFrame) -> DataFrame:
+    """The sequences that are whole chromosomes."""
+    return assembly.where("sequence_role = 'chromosome'")
+
+
 def read_assembly_report(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of an assembly report; comments, blank lines and lines of fewer than ten columns fall out."""
     c = F.split("value", "\t")
