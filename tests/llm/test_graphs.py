@@ -160,7 +160,8 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     result = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in result.description]
     got = queries.QUERIES[name](spark, sf_dir).select(*columns).collect()
