@@ -93,16 +93,25 @@ def near_pairs(fps: DataFrame, fp: str = "fp", max_distance: int = MAX_DISTANCE)
     sub-grids that leave three blocks open: an equi-join on (sub-grid, cell)
     with twenty exact axes, which random fingerprints share once in some six
     million pairs over all sub-grids. The Hamming distance is then tested
-    exactly. Every pair is found whatever the data; nothing is capped.
+    exactly. Every pair is found whatever the data; nothing is capped. Spark
+    rates the 56 rows of a fingerprint as one, so the joins here are told to
+    merge: a broadcast would bring all of them to the driver.
     """
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"max_distance must be 0 to {MAX_DISTANCE}")
     base = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     placed = base.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    hit = placed.alias("x").join(placed.alias("y"), F.col("x.cell") == F.col("y.cell")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    hit = placed.alias("x").hint("merge").join(placed.alias("y"), F.col("x.cell") == F.col("y.cell")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     return hit.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).distinct()
 
 
+def _named(pairs: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """(u, v): ``pairs`` (a, b) of fingerprints as the ``node`` of each in ``nodes`` (fp, node)."""
+    for end, name in (("a", "u"), ("b", "v")):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(end), F.col(node).alias(name)).hint("merge"), end)
+    return pairs.select("u", "v")
+
+
 def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     """The distinct hashes of the runs of ``width`` words; a shorter text is one run, a wordless one none."""
     if not len(words):
@@ -197,7 +206,7 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8, width: int = 5, kno
     inter = F.least(F.col("a.size") - _only_in("a", "b"), F.col("b.size") - _only_in("b", "a"))
     able = inter >= similarity * (F.col("a.size") + F.col("b.size") - inter)
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt"))
-    rest = a.join(b, same & once & able).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    rest = a.hint("merge").join(b, same & once & able).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
     return links.union(measured(materialize(rest, "rest")))
 
 
@@ -219,10 +228,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_distance: i
     # a node orders by the least doc_id of its class, so a component's root names it
     nodes = classes.select("fp", F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("node"))
     pairs = near_pairs(classes, "fp", max_distance)
-    pairs = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    pairs = _named(pairs, nodes, "node")
     roots = connected_components(pairs, "u", "v").select(F.col("node.fp").alias("fp"), F.struct(F.col("root.least").alias("least")).alias("named"))
     by_fp = classes.join(roots, "fp", "left").select("fp", F.when(F.col("named").isNull(), F.col("least")).otherwise(F.col("named.least")).alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.hint("merge").join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -246,11 +255,11 @@ def near_deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int
     texts = materialize(fps.groupBy("fp", "w0", "w1").agg(F.min("row").alias("u")), "texts")
     classes = materialize(texts.groupBy("fp").agg(F.min("u").alias("v")), "classes")
     pairs = near_pairs(classes, "fp", max_distance)
-    pairs = pairs.join(classes.select(F.col("fp").alias("a"), F.col("v").alias("u")), "a").join(classes.select(F.col("fp").alias("b"), "v"), "b").select("u", "v")
-    known = materialize(pairs.union(texts.join(classes, "fp").where("u <> v").select("u", "v")), "near")
+    pairs = _named(pairs, classes, "v")
+    known = materialize(pairs.union(texts.hint("merge").join(classes, "fp").where("u <> v").select("u", "v")), "near")
     first = rows.join(texts.select(F.col("u").alias("row")).hint("merge"), "row", "left_semi").withColumnRenamed("row", "node")
     roots = connected_components(known.union(similar_pairs(first, similarity, known=known)), "u", "v")
     named = texts.join(roots, F.col("u") == F.col("node"), "left").select("fp", "w0", "w1", F.coalesce("root", "u").alias("root"))
-    member = fps.join(named, ["fp", "w0", "w1"]).select("row", "root")
+    member = fps.hint("merge").join(named, ["fp", "w0", "w1"]).select("row", "root")
     stay = member.join(numbered.select(rank.alias("rank")), F.col("row") == F.col("rank.row")).groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(own))
     return numbered.join(materialize(stay, "stay").hint("merge"), own, "left_semi").select(*docs.columns)

@@ -94,6 +94,12 @@ def test_near_pairs_are_complete(spark):
     assert {(r["a"], r["b"]) for r in simhash.near_pairs(df).collect()} == want
 
 
+def test_near_pairs_are_not_broadcast(spark):
+    """Of a fingerprint's 56 rows Spark expects one, so it would send a large table to the driver for a small one."""
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    assert "BroadcastHashJoin" not in simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_texts(spark):
     rng = np.random.default_rng(8)
     texts = {}
