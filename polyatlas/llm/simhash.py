@@ -24,6 +24,7 @@ BLOCKS = 8
 BANDS, BAND_ROWS = 20, 5
 #: Long words of the bitmap of a shingle set, and rows of a band's bucket that one task holds against the whole bucket.
 BITMAP_LONGS, BUCKET_ROWS = 8, 512
+_BYTES = 1 << 20
 
 
 def _bit_sums(hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
@@ -36,7 +37,10 @@ def _bit_sums(hashes: np.ndarray, block: int = 1 << 16) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash of one text: bit set if set in over half of the shingles' XXH64 (seed 42)."""
-    words = (text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split()
+    return _fingerprint((text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split(), width)
+
+
+def _fingerprint(words: list[bytes], width: int) -> int:
     if not words:
         return 0
     line = b" ".join(words)
@@ -51,24 +55,30 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * _bit_sums(hashes) > n, bitorder="little").view("<u8")[0])
 
 
-def _words_digest(text: str | None, seed: int) -> int:
-    """Half of a 128-bit digest of the words of one text, equal for texts that differ in case of A-Z or in white space only."""
-    digest = xxhash.xxh3_128_intdigest(b" ".join((text or "").encode().translate(tv.LOWER_ASCII.tobytes()).split()))
-    return digest >> 64 if seed else digest & (2**64 - 1)
-
-
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, digests: bool = False, key: str = "doc_id") -> DataFrame:
-    """(``key``, fp long) of every row, with ``digests`` also w0 and w1, a digest of its words; null or wordless texts get zero."""
-    functions = {"fp": lambda t: fingerprint(t, width)} | ({"w0": lambda t: _words_digest(t, 0), "w1": lambda t: _words_digest(t, 1)} if digests else {})
+    """(``key``, fp long) of every row; null or wordless texts get zero.
+
+    With ``digests`` also w0 and w1, the halves of a 128-bit digest of the words,
+    equal for texts that differ in case of A-Z or in white space only.
+    """
+    names = ["fp", "w0", "w1"] if digests else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            made = [np.fromiter(map(f, texts), dtype=np.uint64, count=batch.num_rows) for f in functions.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in made)], [key, *functions])
+            data, offsets = tv.buffers(batch.column(1))
+            made = np.zeros((len(names), batch.num_rows), dtype=np.uint64)
+            for a, b in tv.slices(offsets, _BYTES):
+                part = tv.LOWER_ASCII[data[offsets[a] : offsets[b]]].tobytes()
+                for r in range(a, b):
+                    words = part[offsets[r] - offsets[a] : offsets[r + 1] - offsets[a]].split()
+                    made[0, r] = _fingerprint(words, width)
+                    if digests:
+                        digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+                        made[1:, r] = digest & (2**64 - 1), digest >> 64
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in made)], [key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} long" for c in functions)]))
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{c} long" for c in names)]))
 
 
 def _cells(fp: Column) -> Column:
@@ -124,7 +134,7 @@ def _each_text(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
         data, offsets = tv.buffers(batch.column(1))
         keys = batch.column(0).to_pylist()
-        for a, b in tv.slices(offsets, 4 << 20):
+        for a, b in tv.slices(offsets, _BYTES):
             d, o = tv.LOWER_ASCII[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
             start, end, first = tv.words(d, o)
             words = tv.span_hashes(d, start, end)

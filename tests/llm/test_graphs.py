@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from polyatlas.llm import ann, components, langid, queries, urlgraph
+from polyatlas.llm import ann, components, langid, queries, store, urlgraph
 
 
 def _judge(url, rules=urlgraph.RULES):
@@ -202,6 +205,26 @@ def test_pipeline(spark, sf_dir, documents, odd, none):
         assert empty.count() == 0
 
 
+def test_written_tables_take_small_batches(spark):
+    """Batches to Python are of bounded bytes, however long the rows, and the setting of the session is as before."""
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10000).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    got = store.materialize(sizes, "sizes").agg(F.max("n"), F.sum("n")).first()
+    assert got[0] <= 2 * store.BATCH_BYTES and got[1] >= 3000 * 10000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_pipeline_deletes_intermediate_tables(spark, documents):
+    folder = store.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with store.last_written(spark):
+        kept = store.materialize(corpus_pipeline.near_dedup(spark, documents, ""), "result")
+    made = set(os.listdir(folder)) - before
+    assert len(made) == 1 and made.pop().startswith("result-")
+    assert 0 < kept.count() < documents.count()
+
+
 def test_language_stage_rejects_noise_and_keeps_prose(spark, sf_dir, documents):
     """What the network decides: made-up strings go, short, loud and mixed texts of the labelled languages stay."""
     rng = np.random.default_rng(9)
