@@ -195,6 +195,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int
     all shards are kept, ties to the smaller id. Repeated query rows ask once. A
     query id with several vectors asks with each, a candidate id with several
     counts once, at its least distance. Queries cost one search a shard each.
+
+    A shard and a block meet by a merge join: Spark rates a block's copies for
+    all shards as one row, and would send them all to the driver. Pairs go to
+    Python a few at a time, as each holds a whole shard.
     """
     if k > NEIGHBOURS:
         raise ValueError(f"k must be {NEIGHBOURS} at most")
@@ -204,7 +208,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int
     dealt = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"))
     grouped = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
     asked = grouped.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("q.vec_id").alias("query_ids"), F.flatten("q.v").alias("query_vectors"))
-    pairs = asked.join(index, ["shard", "dim"])
+    pairs = asked.hint("merge").join(index, ["shard", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +238,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int
                     yield pa.RecordBatch.from_arrays([pa.array(mine[a : a + 256][r[keep]]), pa.array(v[keep]), pa.array(d[keep])], ["query_id", "vec_id", "score"])
 
     pairs = pairs.select("shard", "dim", "n", "vectors", "ids", "graph", "entries", "query_ids", "query_vectors")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = materialize(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), "found")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -103,6 +103,16 @@ def test_neighbours_recall(spark, sf_dir):
     assert hit >= 0.9 * 10 * out["query_id"].nunique()
 
 
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    """A block goes to every shard, so all copies of the queries are as many times as large as Spark expects of them."""
+    plans, write = [], ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    vectors = ann.usable(spark.createDataFrame([(i, [float(i % 7), 1.0 + i]) for i in range(300)], "vec_id long, embedding array<double>"))
+    out = ann.search(ann.build_index(vectors, shard_vectors=100), vectors.where("vec_id % 100 = 0"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans) and out.count() == 30
+
+
 def test_neighbours_far_from_the_origin(spark):
     """Recall under a common offset, and of a query id that is repeated."""
     rng = np.random.default_rng(6)
