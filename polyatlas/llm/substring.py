@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.errors import PySparkTypeError
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec as tv
 from .store import materialize, row_key, unused
@@ -79,24 +82,8 @@ def _filter(docs: DataFrame, bits: int, window: int) -> np.ndarray:
     return out
 
 
-def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(row_key, doc_id, n_words, n_removed, kept): every row of ``docs`` without its repeated windows.
-
-    A word goes if it lies in a run of ``window`` words of its text that also
-    starts anywhere else in ``docs``, the same text included. Anchors (windows of
-    window - 20 words) are hashed at cover positions modulo 21 only; two equal
-    windows share an anchor at one offset, since each residue is a difference of
-    two cover positions. Anchor hashes seen twice are marked in a bitmap of
-    fixed size; a window around a marked anchor is extended to its whole length
-    and its 79-bit hash counted over all documents. So the bitmap only saves
-    work: false marks cost a count, never a wrong removal. Counts are summed in
-    each task before the shuffle, and only windows found once come back to
-    their texts, so no group of copies meets in one task.
-
-    Null and wordless texts give no words and an empty ``kept``; texts shorter
-    than a window stay; repeated rows are two places of one text; extra columns
-    are ignored. ``kept`` has the words left, joined by one space.
-    """
+def _cut(docs: DataFrame, keep: list[Column], window: int, filter_bits: int, as_is: bool) -> DataFrame:
+    """(keep_0, ..., n_words, n_removed, kept) for every row of ``docs``; the texts go through one shuffle, with all that ``keep`` needs. as_is: a text that loses nothing is ``kept`` unchanged, a null one null."""
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
     spark = docs.sparkSession
@@ -106,6 +93,7 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
     key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << _TELL))
     base = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"))
     bitmap = spark.sparkContext.broadcast(_filter(base, filter_bits, window))
+    named, once_at = unused(docs.columns, "key", "once")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, _, d, _, s, e, first in _parts(batches):
@@ -123,17 +111,17 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
 
     counted = base.mapInArrow(single, "h long, tag short, v long, key long").groupBy("h", "tag")
     once = counted.agg(F.try_sum("v").alias("v"), F.min("key").alias("key")).where(F.shiftright("v", _PLACE + _TELL) == 1)
-    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + _TELL)) - 1).alias("at")).groupBy("key").agg(F.collect_list("at").alias("once"))
+    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + _TELL)) - 1).alias("at")).groupBy(F.col("key").alias(named)).agg(F.collect_list("at").alias(once_at))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, d, _, s, e, first in _parts(batches):
             words = tv.span_hashes(d, s, e)
             at = _candidates(words, first, bitmap.value, filter_bits, window)
-            lists = batch.column(3).slice(a, b - a)
+            lists = batch.column(2).slice(a, b - a)
             rows = np.repeat(np.arange(b - a), lists.value_lengths().fill_null(0).to_numpy())
-            once_at = lists.flatten().to_numpy()
-            mine = once_at >> _PLACE == batch.column(2).to_numpy()[a + rows]
-            at = np.setdiff1d(at, (first[rows] + (once_at & ((1 << _PLACE) - 1)))[mine])
+            places = lists.flatten().to_numpy()
+            mine = places >> _PLACE == batch.column(0).to_numpy()[a + rows]
+            at = np.setdiff1d(at, (first[rows] + (places & ((1 << _PLACE) - 1)))[mine])
             step = np.zeros(len(s) + 1, dtype=np.int32)
             np.add.at(step, at, 1)
             np.add.at(step, at + window, -1)
@@ -142,24 +130,67 @@ def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits:
             for r in range(b - a):
                 own = slice(first[r], first[r + 1])
                 k = keep[own]
-                if k.all() and len(k):
-                    kept.append(b" ".join(raw[s[own][0] : e[own][-1]].split()))
+                if k.all() and (as_is or len(k)):
+                    kept.append(None if as_is else b" ".join(raw[s[own][0] : e[own][-1]].split()))
                 else:
                     kept.append(b" ".join([raw[x:y] for x, y in zip(s[own][k].tolist(), e[own][k].tolist(), strict=True)]))
             n = np.diff(first)
             left = np.add.reduceat(np.append(keep, 0), first[:-1])[: b - a] * (n > 0) if len(s) else np.zeros(b - a, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())], ["row_key", "doc_id", "n_words", "n_removed", "kept"])
+            text = batch.column(1).slice(a, b - a)
+            kept = pa.array(kept, type=pa.binary()).cast(text.type)
+            yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in batch.columns[3:]), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), pc.coalesce(kept, text) if as_is else kept], [*names, "n_words", "n_removed", "kept"])
+
+    names = [f"keep_{i}" for i in range(len(keep))]
+    # only columns of docs are shuffled; what is made of them comes after
+    full = docs.withColumn(named, key).join(once.hint("merge"), named, "left")
+    full = full.select(tell.alias("tell"), text.alias("text"), F.col(once_at).alias("once"), *(c.alias(n) for c, n in zip(keep, names, strict=True)))
+    return full.mapInArrow(cut, T.StructType([*(T.StructField(n, full.schema[n].dataType) for n in names), *T._parse_datatype_string("n_words long, n_removed long, kept string").fields]))
+
+
+def repeated_windows_removed(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(row_key, doc_id, n_words, n_removed, kept): every row of ``docs`` without its repeated windows.
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    full = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"), "doc_id").join(once.hint("merge"), "key", "left").select("key", "text", "tell", "once", row_key().alias("row_key"), "doc_id")
-    return full.mapInArrow(cut, f"row_key binary, doc_id {kind}, n_words long, n_removed long, kept string")
+    A word goes if it lies in a run of ``window`` words of its text that also
+    starts anywhere else in ``docs``, the same text included. Anchors (windows of
+    window - 20 words) are hashed at cover positions modulo 21 only; two equal
+    windows share an anchor at one offset, since each residue is a difference of
+    two cover positions. Anchor hashes seen twice are marked in a bitmap of
+    fixed size; a window around a marked anchor is extended to its whole length
+    and its 79-bit hash counted over all documents. So the bitmap only saves
+    work: false marks cost a count, never a wrong removal. Counts are summed in
+    each task before the shuffle, and only windows found once come back to
+    their texts, so no group of copies meets in one task.
+
+    Null and wordless texts give no words and an empty ``kept``; texts shorter
+    than a window stay; repeated rows are two places of one text; extra columns
+    are ignored. ``kept`` has the words left, joined by one space.
+    """
+    cut = _cut(docs.select("doc_id", "text"), [row_key(), F.col("doc_id")], window, filter_bits, False)
+    return cut.withColumnsRenamed({"keep_0": "row_key", "keep_1": "doc_id"})
+
+
+def _carried(kind: T.DataType) -> bool:
+    """Whether Arrow has this type."""
+    try:
+        to_arrow_type(kind)
+    except PySparkTypeError:
+        return False
+    return True
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``text`` cut; texts that lose nothing stay as they are, other columns too."""
+    """``docs`` with ``text`` cut as by ``repeated_windows_removed``; texts that lose nothing stay as they are, other columns too.
+
+    The other columns travel with the texts, so those are shuffled once. Where
+    Arrow has no type for one (some intervals), the cut texts are written and
+    joined to the rows again, which shuffles all texts a second time.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    if all(_carried(docs.schema[c].dataType) for c in others):
+        cut = _cut(docs, [F.col(c) for c in others], window, FILTER_BITS, True)
+        return cut.select(*(F.col("kept" if c == "text" else f"keep_{others.index(c)}").alias(c) for c in docs.columns))
     row, key, left = unused(docs.columns, "row", "key", "left")
     cut = repeated_windows_removed(docs, window).where("n_removed > 0").select(F.col("row_key").alias(key), F.col("kept").alias(left))
     cut = materialize(cut.dropDuplicates([key]), "cut")
-    keyed = docs.withColumn(row, row_key())
-    out = keyed.join(cut.hint("merge"), F.col(row) == F.col(key), "left")
+    out = docs.withColumn(row, row_key()).join(cut.hint("merge"), F.col(row) == F.col(key), "left")
     return out.select(*(F.coalesce(left, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))

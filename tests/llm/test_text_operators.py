@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -189,6 +191,31 @@ def test_substring_odd_rows(odd, none):
     assert substring.repeated_windows_removed(none).count() == 0
 
 
+def test_substring_dedup_shuffles_the_texts_once_and_keeps_columns(spark):
+    a = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, a, Decimal("1.50"), {"k": [1, None]}, ("p", None), "o"), (1, "y\t " + a, None, None, None, None), (1, a, Decimal("2.50"), {}, ("q", 3), "o"), (2, "two\n words ", None, None, None, None), (3, None, None, None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, price decimal(9,2), key map<string, array<int>>, once struct<a: string, b: int>, keep_0 string").withColumn("at", F.expr("timestamp'2020-01-01 01:02:03'")).withColumn("span", F.expr("interval '1 2' day to hour")).withColumn("nothing", F.lit(None))
+    out = substring.substring_dedup(docs)
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    want = [r.asDict(True) | {"text": ("y" if r["text"][0] == "y" else "") if r["doc_id"] == 1 else r["text"]} for r in docs.collect()]
+    got = [r.asDict(True) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # texts that hardly compress: a second shuffle of them would double the bytes
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        time.sleep(1)
+        return sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 100), i -> sha2(concat(id, ' ', i), 512)), ' ')").alias("text"))
+    before = shuffled()
+    assert substring.substring_dedup(texts).where("length(text) = 12899").count() == 400
+    assert 0.5 < (shuffled() - before) / (400 * 12899) < 1.5
+    # Arrow has no such interval, so this column goes by the rows' keys
+    apart = substring.substring_dedup(docs.selectExpr("*", "make_interval(doc_id) as wait"))
+    assert sorted(str(r.asDict(True)) for r in apart.drop("wait").collect()) == sorted(map(str, want)) and apart.where("string(wait) = string(make_interval(doc_id))").count() == 5
+
+
 def test_substring_overlaps_and_tiny_filter(spark):
     a = " ".join(f"x{i}" for i in range(60))
     texts = [a, "y " * 7 + a[20:], a.replace("x30", "z"), "k " * 80, "q r " * 40, a[:130]]
