@@ -312,6 +312,36 @@ def test_language_model(spark, documents, odd, none):
     assert hpylm.score(odd, model, vocabulary, "doc_id").where("n_known = 0 and train_tokens = 0 and abs(score) < 1e-6 and open_score < 0").count() == odd.count()
 
 
+def test_finder_is_a_binary_search_in_fewer_steps():
+    rng = np.random.default_rng(5)
+    top = np.uint64(2**64 - 1)
+    many = np.unique(rng.integers(0, 2**64, 1 << 20, dtype=np.uint64))
+    for held in (many, many[:1], many[:0], np.array([0, 1, top - np.uint64(1), top], dtype=np.uint64), np.arange(5000, dtype=np.uint64)):  # the last do not spread
+        asked = np.concatenate((rng.choice(held, 500) if len(held) else held, held[-3:], rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 7, top], dtype=np.uint64)))
+        assert all((x == y).all() for x, y in zip(hpylm._finder(held)(asked), hpylm._find(held, asked), strict=True))
+    asked, find = rng.permutation(many), hpylm._finder(many)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(seconds(lambda: find(asked)) for _ in range(3)) < 0.7 * min(seconds(lambda: hpylm._find(many, asked)) for _ in range(3))
+
+
+def test_language_model_spells_only_the_words_asked_for():
+    data, offsets = textvec.buffers(__import__("pyarrow").array(["ab c ab", None, "", "déf ab  x"]))
+    stream, o, hashes, first = hpylm.tokens(data, offsets)
+    rng, zeros = np.random.default_rng(6), np.zeros(0)
+    model = hpylm.Model(rng.integers(0, hpylm.CLASSES, 256).astype(np.uint8), rng.random(256), rng.random(hpylm.CLASSES**hpylm.LEVELS), 0, 0, 0.5, 0.5, zeros, zeros, zeros, 0.0, 0.0)
+    every = model.spell(stream, o)
+    for words in ([], [0], [1, 3, 5], range(len(hashes))):
+        words = np.array(words, dtype=np.int64)
+        ends = np.append(np.zeros(len(words), dtype=bool), True)
+        got = hpylm._spelled(model, stream, o, np.append(words, len(hashes)), ends, -7.0)
+        assert (got == np.append(every[words], -7.0)).all()
+
+
 def _probability(model, vocabulary, word, context):
     """Of a word after a context word, from the written table, by the definition."""
     h = {w: int(hpylm.hash_words(__import__("pyarrow").array([w]))[0][0]) for w in (word, context)}
