@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec as tv
-from .store import materialize, row_key, unused
+from .store import materialize, release, row_key, unused
 
 WINDOW = 35
 #: A perfect difference set: every residue mod PERIOD is a difference of two members.
@@ -82,18 +83,8 @@ def _filter(docs: DataFrame, bits: int, window: int) -> np.ndarray:
     return out
 
 
-def _cut(docs: DataFrame, keep: list[Column], window: int, filter_bits: int, as_is: bool) -> DataFrame:
-    """(keep_0, ..., n_words, n_removed, kept) for every row of ``docs``; the texts go through one shuffle, with all that ``keep`` needs. as_is: a text that loses nothing is ``kept`` unchanged, a null one null."""
-    if window <= PERIOD:
-        raise ValueError(f"window must be over {PERIOD} words")
-    spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    # a short key shuffles cheaply; rows of one doc_id are told apart by 24 bits of their text's hash
-    short = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(None).cast("long")
-    key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << _TELL))
-    base = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"))
-    bitmap = spark.sparkContext.broadcast(_filter(base, filter_bits, window))
-    named, once_at = unused(docs.columns, "key", "once")
+def _once(base: DataFrame, bitmap: Broadcast, window: int, filter_bits: int) -> DataFrame:
+    """(key, once): of the rows of ``base`` (key, text, tell) that have any, tell and start of each marked window found once."""
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, _, d, _, s, e, first in _parts(batches):
@@ -111,7 +102,24 @@ def _cut(docs: DataFrame, keep: list[Column], window: int, filter_bits: int, as_
 
     counted = base.mapInArrow(single, "h long, tag short, v long, key long").groupBy("h", "tag")
     once = counted.agg(F.try_sum("v").alias("v"), F.min("key").alias("key")).where(F.shiftright("v", _PLACE + _TELL) == 1)
-    once = once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + _TELL)) - 1).alias("at")).groupBy(F.col("key").alias(named)).agg(F.collect_list("at").alias(once_at))
+    return once.select("key", F.col("v").bitwiseAND((1 << (_PLACE + _TELL)) - 1).alias("at")).groupBy("key").agg(F.collect_list("at").alias("once"))
+
+
+def _cut(docs: DataFrame, keep: list[Column], window: int, filter_bits: int, as_is: bool) -> DataFrame:
+    """(keep_0, ..., n_words, n_removed, kept) for every row of ``docs``; the texts go through one shuffle, with all that ``keep`` needs. as_is: a text that loses nothing is ``kept`` unchanged, a null one null."""
+    if window <= PERIOD:
+        raise ValueError(f"window must be over {PERIOD} words")
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    # a short key shuffles cheaply; rows of one doc_id are told apart by 24 bits of their text's hash
+    short = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(None).cast("long")
+    key, tell = F.coalesce(short, F.xxhash64(text)), F.pmod(F.xxhash64(text), F.lit(1 << _TELL))
+    base = docs.select(key.alias("key"), text.alias("text"), tell.alias("tell"))
+    bitmap = spark.sparkContext.broadcast(_filter(base, filter_bits, window))
+    named, once_at = unused(docs.columns, "key", "once")
+    # written, and the shuffles of anchors and windows let go, before the texts are shuffled
+    once = materialize(_once(base, bitmap, window, filter_bits).withColumnsRenamed({"key": named, "once": once_at}), "once")
+    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, d, _, s, e, first in _parts(batches):
